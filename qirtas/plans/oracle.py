@@ -290,7 +290,7 @@ VERDICTS = f"SELECT CASE WHEN coalesce(correct, false) THEN 'correct' ELSE 'wron
 ABSTENTIONS = f"""SELECT condition, lang, count(*) FILTER (WHERE contains(upper(coalesce(answer, '')), CASE WHEN condition = 'closed_book' THEN 'UNKNOWN' ELSE 'NOT_IN_CONTEXT' END)) AS n_told,
   count(*) FILTER (WHERE coalesce(abstained, false)) AS n_stored FROM {GENERATION} GROUP BY ALL"""
 ALL_QRELS = f"(SELECT DISTINCT qid, grp, unnest(members) AS doc FROM (SELECT qid, unnest(range(len(relevant_groups))) AS grp, unnest(relevant_groups) AS members FROM {QUESTIONS}))"
-POSITIONS = f"SELECT g.gen_id, q.grp, min(list_position(g.context_ids, q.doc)) AS position FROM {GENERATION} g JOIN {ALL_QRELS} q USING (qid) WHERE q.doc IS NOT NULL AND g.context_ids IS NOT NULL GROUP BY ALL"
+POSITIONS = f"SELECT g.gen_id, q.grp, CAST(min(list_position(g.context_ids, q.doc)) AS BIGINT) AS position FROM {GENERATION} g JOIN {ALL_QRELS} q USING (qid) WHERE q.doc IS NOT NULL AND g.context_ids IS NOT NULL GROUP BY ALL"
 
 ORACLE_CONTEXT = f"""
 WITH p AS (SELECT DISTINCT chunk_id AS doc FROM chunks), o AS (SELECT doc, row_number() OVER (ORDER BY sha256('{SALT}|pool|' || doc), doc) - 1 AS number FROM p), z AS (SELECT count(*) AS n FROM p),
