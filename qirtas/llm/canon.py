@@ -107,6 +107,14 @@ def canonical(text: str) -> str:
     return unicodedata.normalize("NFKC", text.casefold()).translate(_HIDDEN)
 
 
+def settled(text: str) -> str:
+    """`canonical` of a value that has no character to replace or to remove."""
+    if text.isascii():
+        return text.lower()
+    text = text.casefold()
+    return text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
+
+
 def stands_in(text: str) -> bool:
     """Whether a value holds a split letter or a look-alike: the part of the question that needs surroundings."""
     return len(unicodedata.normalize("NFC", text)) != len(text) or one_script(text) != text
@@ -139,7 +147,8 @@ def canonicalize(df: DataFrame, keys: list[str], value: str = "value") -> DataFr
                 for i in np.flatnonzero(open_).tolist():
                     sure[i] = stands_in(values[i])
                 odd.append(sure)
-                forms.extend(map(canonical, values))
+                # A value without a character to replace only needs composing and folding.
+                forms.extend(canonical(v) if s else settled(v) for v, s in zip(values, sure.tolist(), strict=True))
             changed = pa.array(np.concatenate(odd) if odd else np.zeros(0, bool))
             at = coded.indices
             yield pa.RecordBatch.from_arrays(
