@@ -476,6 +476,9 @@ def bounds(text: str, start: int, end: int, kind: int) -> list[tuple[int, int]]:
         return [(start, start + len(piece))] if digits >= (7 if kind == 2 else 6) else []
     if kind == 1:
         piece = piece.rstrip(".,;:>")
+        first = re.search(r"^[^@\[(]*[,;]\s+", piece)
+        if first:
+            start, piece = start + first.end(), piece[first.end() :]
         return [(start, start + len(piece))] if re.search(r"@|[\[(]at[\])]", piece, re.I) and re.search(r"\.|dot", piece, re.I) else []
     if kind == 4:
         cut = re.search(r"(?<!No)(?<!St)(?<!Ave)(?<!Rd)(?<!Blvd)(?<!Sq)\.\s", piece)
@@ -483,17 +486,18 @@ def bounds(text: str, start: int, end: int, kind: int) -> list[tuple[int, int]]:
         if piece.endswith(ABBREVIATIONS) and text[start + len(piece) : start + len(piece) + 1] == ".":
             piece += "."
         return [(start, start + len(piece))] if digits and len(piece) > 4 else []
-    out = []
-    parts = re.split(r"(,\s+)", piece.split("\n\n")[0])
-    if len(parts) == 3 and len(parts[0].split()) == 1:
-        parts = ["".join(parts)]
-    at = start
-    for k, part in enumerate(parts):
-        own = _AFTER.sub("", part)
-        if k % 2 == 0 and len(own.split()) > 1:
-            out.append((at, at + len(own)))
-        at += len(part)
-    return out
+    out: list[tuple[int, int]] = []
+    family = False  # the part before was a family name alone: its first name follows
+    for m in re.finditer(r"[^,]+", piece.split("\n\n")[0]):
+        own = _AFTER.sub("", m[0])
+        lead = len(own) - len(own.lstrip())
+        words = own.split()
+        if family:
+            out[-1] = (out[-1][0], start + m.start() + len(own))
+        elif words:
+            out.append((start + m.start() + lead, start + m.start() + len(own)))
+        family = not family and len(words) == 1
+    return [(x, y) for x, y in out if len(text[x:y].split()) > 1]
 
 
 # ---------------------------------------------------------------------------------------------------------------
