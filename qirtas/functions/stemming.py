@@ -132,4 +132,4 @@ def porter2(word: str) -> str:
 def stem_english(words: pd.Series) -> pd.Series:
     """Porter2, once per distinct word of a batch."""
     stems = {w: porter2(w) for w in words.dropna().unique()}
-    return words.map(stems)
+    return pd.Series([stems.get(w) for w in words], dtype=object)

@@ -45,7 +45,7 @@ def normalize(text: str, lang: str) -> str:
 def _composed(form: str):
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize(form, x))
+        return pd.Series([unicodedata.normalize(form, x) if isinstance(x, str) and not x.isascii() else x for x in values], dtype=object)
 
     return run
 
@@ -86,16 +86,16 @@ def _without_article(token: Column) -> Column:
 
 
 def content_tokens(toks: Column, lang: str) -> Column:
-    """Tokens of a short answer: English articles go, the Arabic article is cut off where two letters stay."""
+    """Tokens of a short answer: English articles go, the Arabic article is cut off where two letters stay.
+
+    As all expressions that look into arrays, it wants a column of tokens, not the normalisation itself: Spark does not
+    evaluate a Python function within a higher-order one.
+    """
     if lang == "en":
         return F.filter(toks, lambda t: ~t.isin(*ARTICLES))
     return F.transform(toks, _without_article)
 
 
-def answer_tokens(c: Column, lang: str) -> Column:
-    return content_tokens(tokens(c, lang), lang)
-
-
 def overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two token arrays."""
     return F.aggregate(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,8 +147,9 @@ def answer_with(prompts: DataFrame, answerer: Callable[[list[str]], list[str]],
     checked = prompts.withColumn(prompt, F.when(bad, F.raise_error(F.concat(F.lit("no such answering: "), "condition"))).otherwise(F.col(prompt)))
 
     @F.pandas_udf("string")
-    def ask(values):
+    def ask(values: pd.Series) -> pd.Series:
         distinct = values.dropna().unique().tolist()
-        return values.map(dict(zip(distinct, answerer(distinct), strict=True)))
+        known = dict(zip(distinct, answerer(distinct), strict=True))
+        return pd.Series([known.get(v) for v in values], dtype=object)
 
     return checked.withColumn("answer", F.trim(ask(F.col(prompt)))).withColumn("abstained", T.abstains(F.col("answer"), F.col("condition")))

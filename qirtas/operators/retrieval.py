@@ -31,7 +31,7 @@ def analyze(texts: DataFrame, analyzer: str, lang: str, text: str = "text", out:
     if analyzer == "norm":
         return texts.withColumn(out, tokens)
     if lang == "ar":
-        return texts.withColumn(out, F.transform(tokens, stemming.stem_arabic))
+        return texts.withColumn(out, tokens).withColumn(out, F.transform(out, stemming.stem_arabic))
     joined = texts.withColumn(out, F.array_join(tokens, " "))
     return joined.withColumn(out, F.split(_stem_line(F.col(out)), " ")).withColumn(out, F.filter(out, lambda x: x != ""))
 
@@ -45,7 +45,7 @@ def _stem_line(lines: pd.Series) -> pd.Series:
             stems[word] = stemming.porter2(word)
         return stems[word]
 
-    return lines.map(lambda x: " ".join(map(stem, x.split())))
+    return pd.Series([" ".join(map(stem, x.split())) for x in lines], dtype=object)
 
 
 def term_stats(docs: DataFrame) -> DataFrame:

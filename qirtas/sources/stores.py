@@ -6,6 +6,7 @@ import json
 import time
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,7 +106,7 @@ def ask_all(requests: DataFrame, client: Callable[[str], str], prompt: str = "pr
             for p in frame[prompt].dropna().unique():
                 if p not in known:
                     known[p] = client(p)
-            yield frame.assign(response=frame[prompt].map(known))
+            yield frame.assign(response=pd.Series([known.get(p) for p in frame[prompt]], index=frame.index, dtype=object))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
     return requests.mapInPandas(run, f"{schema}, response string")
