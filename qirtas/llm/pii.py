@@ -146,6 +146,11 @@ def _shape(word: str) -> str:
     return "XX" if word.isupper() else "Xx" if word[0].isupper() else "xx"
 
 
+def _ties(word: str) -> bool:
+    """Whether occurrences of a word are joined by skip edges: words of four letters and more that can be names."""
+    return len(word) > 3 and word[0].isalpha() and not word.islower()
+
+
 def features(word: str) -> tuple[list[str], list[str]]:
     """(features of a token where it stands, features it has for its neighbours)."""
     low = ("9" * len(word)) if word[0].isdigit() else word.lower()
@@ -262,12 +267,13 @@ def train(texts: list[str], epochs: int = 6, seed: int = 7) -> Model:
         for z in range(2, LABELS, 2):
             if y not in (z, z - 1):
                 step[y, z] = -25
-    # Skip edges: how much likelier two occurrences of a name's word have the same kind of label.
+    # Skip edges: how much likelier two occurrences of a name's word have the same kind of label, where both are known.
     of_name = (label_of + 1) // 2 == 1
     key = row * (len(words) + 1) + kind
     order = np.argsort(key, kind="stable")
+    order = order[~unsure[order]]
     together = key[order][1:] == key[order][:-1]
-    tied = together & telling[order][1:]
+    tied = together & np.fromiter(map(_ties, words), bool, len(words))[kind][order][1:]
     both = (of_name[order][1:] & of_name[order][:-1] & tied).sum()
     one = (of_name[order][1:] ^ of_name[order][:-1])[tied].sum()
     skip = float(np.clip(np.log((both + 1) / (one + 1)), 0, 2)) if both else 0.0
@@ -334,7 +340,7 @@ class Finder:
         if not open_.any():
             return none
         # Other occurrences of an open token of a name are open too.
-        capital = np.fromiter((len(w) > 3 and w[0].isalpha() and not w.islower() for w in words), bool, len(words))[kind]
+        capital = np.fromiter(map(_ties, words), bool, len(words))[kind]
         key = row * len(words) + kind
         likely = open_ & capital & (odds > -1)
         if likely.any():
@@ -374,13 +380,13 @@ class Finder:
             strength = np.float32(np.expm1(self.model.skip))
             for _ in range(ROUNDS):
                 belief = self.marginals(unary + message, chain, place, length)
-                for source, back, out in ((left, to_left, to_right), (right, to_right, to_left)):
-                    pure = belief[source] * np.exp(-back)
+                # what a token tells another is its belief without what it was told by it
+                for source, told, out in ((left, to_left.copy(), to_right), (right, to_right.copy(), to_left)):
+                    pure = belief[source] * np.exp(-told)
                     pure /= pure.sum(axis=1, keepdims=True)
                     name = pure[:, 1] + pure[:, 2]
                     sent = np.ones((len(source), LABELS), np.float32)
-                    sent[:, 1:3] += strength * name[:, None]
-                    sent[:, 0] += strength * pure[:, 0]
+                    sent[:, 1:3] += strength * name[:, None]  # the potential favours two names, not two words outside
                     out[:] = np.log(sent) - np.log(sent).max(axis=1, keepdims=True)
                 message[:] = 0
                 np.add.at(message, left, to_left)
