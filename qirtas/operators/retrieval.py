@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from ..functions import text as T
 
 K1, B = 1.2, 0.75
 ANALYZERS = ("raw", "norm", "light")
+#: So many queries are searched for at a time; their terms bound what is broadcast.
+BLOCK_QUERIES = 1000
 
 
 def analyze(texts: DataFrame, analyzer: str, lang: str, text: str = "text", out: str = "tokens") -> DataFrame:
@@ -61,7 +66,7 @@ def top_k(scores: DataFrame, k: int, by: str = "qid", score: str = "score", item
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, doc, score > 0) of documents (doc, tokens) for queries (qid, tokens).
+    """(qid, doc, score > 0) of documents (doc, tokens) for queries (qid, tokens), every pair, in joins and aggregates.
 
     A query term counts once.  Lengths average over all documents, also those without tokens; unknown terms and
     queries without terms give no rows.  Of a repeated document or query id, the caller keeps one row.
@@ -75,16 +80,76 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float =
     total = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     places = sized.select("doc", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").repartition("doc")
     tf = places.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = places.groupBy("term").agg(F.countDistinct("doc").alias("df"))
-    idf = df.crossJoin(total).select("term", "avgdl", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # total is one row
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.crossJoin(total).select("term", "avgdl", _idf(F.col("n"), F.col("df")).alias("idf"))  # total is one row
     norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     weighted = tf.join(idf, "term").select("doc", "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + norm) * F.col("idf")).alias("w"))
     return weighted.join(wanted, "term").groupBy("qid", "doc").agg(F.sum("w").alias("score"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, doc, score, rank): the k best documents of each query."""
-    return top_k(bm25_scores(docs, queries, k1, b), k)
+def _idf(n: Column, df: Column) -> Column:
+    return F.log1p((n - df + 0.5) / (df + 0.5))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B, block: int = BLOCK_QUERIES) -> DataFrame:
+    """(qid, doc, score, rank): the k best documents of each query, by the scores of `bm25_scores`.
+
+    The queries are the stated set: they go out in blocks of `block`.  The documents pass once for the statistics of
+    the block's terms and once to be scored: a batch of documents becomes a small matrix over these terms, a
+    query's scores are the sum of its few columns, and the batch keeps its own k best (ties included) of each query, so
+    that pairs of documents and queries never become rows.
+    """
+    spark = docs.sparkSession
+    asked = queries.select("qid", F.array_distinct("tokens").alias("terms")).filter(F.size("terms") > 0)
+    sized = docs.select("doc", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    n, avgdl = sized.agg(F.count("*"), F.avg(F.size("tokens"))).first()
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, doc {docs.schema['doc'].dataType.simpleString()}, score double"
+    out = None
+    blocks = -(-asked.count() // block) if n and avgdl else 0
+    for i in range(blocks):
+        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        rows = part.collect()  # about `block` short queries
+        terms = sorted({t for r in rows for t in r.terms})
+        if not terms:
+            continue
+        wanted = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))
+        df = sized.select(F.explode(F.array_distinct("tokens")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        idf = dict(df.select("term", _idf(F.lit(n), F.col("df"))).collect())
+        place = {t: j for j, t in enumerate(terms)}
+        columns = [(r.qid, np.array([place[t] for t in r.terms if t in idf], np.int64)) for r in rows]
+        shared = spark.sparkContext.broadcast((terms, np.array([idf.get(t, 0.0) for t in terms]), [c for c in columns if len(c[1])]))
+
+        def run(batches, shared=shared):
+            names, weight, asked_for = shared.value
+            known = pa.array(names)
+            step = max(1, 4_000_000 // len(names))
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    tokens = batch.column(1)
+                    length = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+                    found = pc.fill_null(pc.index_in(tokens.flatten(), value_set=known), -1).to_numpy()
+                    row = np.repeat(np.arange(len(length)), length)[found >= 0]
+                    cell, tf = np.unique(row * len(names) + found[found >= 0], return_counts=True)
+                    row, term = cell // len(names), cell % len(names)
+                    matrix = np.zeros((len(names), len(length)))
+                    matrix[term, row] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avgdl)) * weight[term]
+                    qids, docs_at, scores = [], [], []
+                    for qid, columns in asked_for:
+                        score = matrix[columns].sum(axis=0)
+                        hit = np.flatnonzero(score > 0)
+                        if len(hit) > k:
+                            tied = np.round(score[hit], 9)
+                            hit = hit[tied >= np.partition(tied, len(tied) - k)[len(tied) - k]]
+                        qids.extend([qid] * len(hit))
+                        docs_at.append(hit)
+                        scores.append(score[hit])
+                    if qids:
+                        yield pa.RecordBatch.from_arrays([pa.array(qids), batch.column(0).take(pa.array(np.concatenate(docs_at))), pa.array(np.concatenate(scores))], ["qid", "doc", "score"])
+
+        best = sized.mapInArrow(run, kinds)
+        out = best if out is None else out.unionByName(best)
+    return top_k(spark.createDataFrame([], kinds) if out is None else out, k)
 
 
 def every(df: DataFrame, number: Column, step: int = 20) -> DataFrame:

@@ -30,6 +30,17 @@ def test_bm25_by_hand(spark):
     assert got["q2", "d1"][0] == 1 and got["q2", "d0"][0] == 2
 
 
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_search_equals_all_scores(spark, block):
+    rng = np.random.default_rng(1)
+    docs = frame(spark, [(f"d{i:02d}", list(map(str, rng.integers(0, 12, rng.integers(0, 9))))) for i in range(60)] + [("e", None)], "doc string, tokens array<string>").repartition(3)
+    asked = frame(spark, [(f"q{i}", list(map(str, rng.integers(0, 15, 3)))) for i in range(7)] + [("none", ["zz"]), ("null", None)], "qid string, tokens array<string>")
+    whole = retrieval.top_k(retrieval.bm25_scores(docs.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))), asked), 5)
+    fast = retrieval.bm25(docs, asked, 5, block=block)
+    tidy = lambda df: sorted((r.qid, r["rank"], r.doc, round(r.score, 9)) for r in df.collect())
+    assert tidy(fast) == tidy(whole)
+
+
 def test_bm25_of_empty_tables(spark):
     docs = frame(spark, DOCS, "doc string, tokens array<string>")
     none = frame(spark, [], "qid string, tokens array<string>")
