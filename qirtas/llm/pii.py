@@ -196,14 +196,14 @@ def _gather(table: np.ndarray, kind: np.ndarray, row: np.ndarray, gap: np.ndarra
     n = len(kind)
     parts = [table[kind, :OWN]]
     for j, k in enumerate(OFFSETS):
-        seen = np.full((n, NEAR), -1, np.int64)
+        seen = np.full((n, NEAR), -1, np.int32)
         # what the token at i + k says to the one at i
         a, b = (slice(0, n - k), slice(k, n)) if k > 0 else (slice(-k, n), slice(0, n + k))
         same = row[a] == row[b]
         seen[a][same] = table[kind[b], OWN + j * NEAR : OWN + (j + 1) * NEAR][same]
         parts.append(seen)
     ahead = np.append(gap[1:], 1)
-    parts.append(np.array(GAPS, np.int64)[np.stack((gap, 3 + ahead), axis=1)])
+    parts.append(np.array(GAPS, np.int32)[np.stack((gap, 3 + ahead), axis=1)])
     return np.concatenate(parts, axis=1)
 
 
@@ -236,7 +236,7 @@ def train(texts: list[str], epochs: int = 6, seed: int = 7) -> Model:
     telling = np.fromiter((w[0].isdigit() or w[0].isupper() for w in words), bool, len(words))[kind]
     chance = np.where(near, 1.0, np.where(telling, 0.35, 0.08))
     use = np.flatnonzero((rng.random(len(start)) < chance) & ~unsure)
-    table = np.array([indices(w) for w in words], np.int64)
+    table = np.array([indices(w) for w in words], np.int32)
     x = _gather(table, kind, row, gap)
     x[x < 0] = BUCKETS
     weight = np.zeros((BUCKETS + 1, LABELS), np.float32)

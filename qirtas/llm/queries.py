@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import ship
+from ..plans import sqltext as S
 from . import budget, canon, encode, groups, leakage, neardup, pairs, pii, splitting
 
 
@@ -144,4 +145,35 @@ reach(node, label) AS (SELECT a, a FROM both_ways UNION SELECT both_ways.b, reac
 SELECT node AS chunk_id, min(label) AS group_id FROM reach GROUP BY node
 """
 
-SQL = {"p3_found": P3_FOUND_SQL, "p6_found": P6_FOUND_SQL}
+
+P4_FOUND_SQL = "WITH " + ", ".join(
+    f"""{x} AS (SELECT chunk_id, list_distinct(CASE WHEN len(t) = 0 THEN [] WHEN len(t) <= 5 THEN [array_to_string(t, ' ')] ELSE list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) END) AS s
+  FROM (SELECT DISTINCT chunk_id, {S.tokens(x, x)} AS t FROM chunks)), u{x} AS (SELECT chunk_id, len(s) AS n, unnest(s) AS x FROM {x}),
+j{x} AS (SELECT a.chunk_id AS chunk_id_1, b.chunk_id AS chunk_id_2, count(*) AS k, any_value(a.n) AS m, any_value(b.n) AS n FROM u{x} a JOIN u{x} b ON a.x = b.x AND a.chunk_id < b.chunk_id GROUP BY ALL)"""
+    for x in ("en", "ar")
+) + " SELECT chunk_id_1, chunk_id_2 FROM jen WHERE k / (m + n - k) >= 0.8 UNION SELECT chunk_id_1, chunk_id_2 FROM jar WHERE k / (m + n - k) >= 0.8"
+
+_LATIN, _OTHER = "A-Za-z\\x{c0}-\\x{24f}", "\\x{370}-\\x{52f}"
+_HIDDEN = "\\x{ad}\\x{34f}\\x{61c}\\x{180b}-\\x{180e}\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{206f}\\x{feff}"
+_FORMS = "\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}\\x{ff01}-\\x{ffee}\\x{fb00}-\\x{fb4f}\\x{fb50}-\\x{fdff}\\x{fe70}-\\x{fefc}\\x{2160}-\\x{217f}"
+P5_FOUND_SQL = f"""
+WITH v AS (SELECT 'generation' AS tbl, CAST(gen_id AS VARCHAR) AS record_id, lang, answer AS x FROM generation UNION ALL SELECT 'questions', qid, 'en', answer.en FROM questions
+  UNION ALL SELECT 'questions', qid, 'ar', answer.ar FROM questions UNION ALL SELECT 'chunks', chunk_id, 'ar', ar FROM chunks)
+SELECT DISTINCT tbl, record_id, lang FROM v WHERE regexp_matches(x, '[{_HIDDEN}{_FORMS}{canon.PERSIAN_FROM}]') OR length(nfc_normalize(x)) <> length(x)
+  OR regexp_matches(x, '[{_LATIN}][{_OTHER}]|[{_OTHER}][{_LATIN}]') OR regexp_matches(x, '(^|[^\\p{{L}}\\p{{M}}])[{canon.LOOKALIKES_FROM}]+($|[^\\p{{L}}\\p{{M}}])')
+"""
+
+
+def _words(expr: str) -> str:
+    bare = f"regexp_replace(lower({expr}), '[\\x{{64b}}-\\x{{65f}}\\x{{670}}\\x{{640}}]', '', 'g')"
+    return f"list_filter(list_transform(regexp_split_to_array({bare}, '[\\s\\x{{a0}}\\x{{85}}]+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda w: w <> '')"
+
+
+def _runs(table: str, key: str) -> str:
+    return f"(SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS r FROM (SELECT {key}, {_words('text')} AS w FROM {table} WHERE text IS NOT NULL))"
+
+
+P8_FOUND_SQL = f"SELECT DISTINCT d.doc_id, i.item_id FROM {_runs('documents', 'doc_id')} d JOIN {_runs('eval_items', 'item_id')} i USING (r)"
+P8_ITEMS_SQL = f"SELECT i.item_id, i.suite, i.kind, count(f.doc_id) AS n_documents FROM (SELECT DISTINCT item_id, suite, kind FROM eval_items) i LEFT JOIN ({P8_FOUND_SQL}) f USING (item_id) GROUP BY ALL"
+
+SQL = {"p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p8_found": P8_FOUND_SQL, "p8_items": P8_ITEMS_SQL}
