@@ -61,12 +61,14 @@ def small_or_not(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Enough partitions for all cores where a table comes in fewer splits than that; else unchanged.
+    """Enough partitions for all cores where tables come in fewer splits than that; else unchanged.
 
-    The rows are dealt out by a hash of their contents, so a retried task yields the same rows.
+    Only plans without an exchange are looked at: counting the partitions of another would run it.  The rows are dealt
+    out by a hash of their contents, so a retried task yields the same rows.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString() or execution.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(2 * cores, *[F.col(f"`{c}`") for c in df.columns])
 
