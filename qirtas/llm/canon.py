@@ -46,6 +46,17 @@ _TO_ARABIC = str.maketrans(PERSIAN_FROM, PERSIAN_TO)
 _HIDDEN = dict.fromkeys(IGNORABLE)
 _SPACES = str.maketrans({chr(i): " " for i in range(0x3001) if unicodedata.category(chr(i)) == "Zs"})
 _RUN = re.compile(r"[^\W\d_]+")
+_OTHER_SCRIPT = re.compile("[\u0370-\u058f\u1f00-\u1fff\u2c60-\u2dff\ua640-\ua69f]")
+_PERSIAN = re.compile(f"[{PERSIAN_FROM}]")
+_UNSHOWN = re.compile("[" + "".join(map(re.escape, map(chr, (*IGNORABLE, *map(ord, (c for c in map(chr, range(0x3001)) if unicodedata.category(c) == "Zs" and c != " ")))))) + "]")
+
+_UNSHOWN_MAP = _HIDDEN | _SPACES
+
+
+def _shown(text: str) -> str:
+    """Without the characters that do not show, and with plain blanks."""
+    return text.translate(_UNSHOWN_MAP) if _UNSHOWN.search(text) else text
+
 
 PLAIN, STANDS_IN, LOOK_CLOSER = 0, 1, 2
 
@@ -95,16 +106,17 @@ def _word(word: str) -> str:
 
 
 def one_script(text: str) -> str:
-    return _RUN.sub(lambda m: _word(m[0]), text)
+    return _RUN.sub(lambda m: _word(m[0]), text) if _OTHER_SCRIPT.search(text) else text
 
 
 def canonical(text: str) -> str:
     """The consistent form of a value: composed, case-folded, plain blanks, nothing hidden, one script to a word."""
     if text.isascii() and text.isprintable():
         return text.lower()
-    text = unicodedata.normalize("NFKC", text.translate(_HIDDEN).translate(_SPACES))
-    text = one_script(text).translate(_TO_ARABIC)
-    return unicodedata.normalize("NFKC", text.casefold()).translate(_HIDDEN)
+    text = one_script(unicodedata.normalize("NFKC", _shown(text)))
+    if _PERSIAN.search(text):
+        text = text.translate(_TO_ARABIC)
+    return _shown(unicodedata.normalize("NFKC", text.casefold()))
 
 
 def settled(text: str) -> str:
