@@ -2,9 +2,12 @@ import os
 import sys
 
 import pytest
+from hypothesis import settings
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+settings.register_profile("fixed", derandomize=True, deadline=None)
+settings.load_profile("fixed")
 
 
 @pytest.fixture(scope="session")
