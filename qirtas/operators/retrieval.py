@@ -77,12 +77,12 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float =
     wanted = queries.select("qid", F.explode(F.array_distinct("tokens")).alias("term"))
     terms = wanted.select("term").distinct()
     sized = docs.select("doc", F.size("tokens").alias("dl"), "tokens")
-    total = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    n, avgdl = sized.agg(F.count("*"), F.avg("dl")).first()
     places = sized.select("doc", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").repartition("doc")
     tf = places.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(total).select("term", "avgdl", _idf(F.col("n"), F.col("df")).alias("idf"))  # total is one row
-    norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
+    idf = df.select("term", _idf(F.lit(n), F.col("df")).alias("idf"))
+    norm = k1 * (1 - b + b * F.col("dl") / F.lit(avgdl))
     weighted = tf.join(idf, "term").select("doc", "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + norm) * F.col("idf")).alias("w"))
     return weighted.join(wanted, "term").groupBy("qid", "doc").agg(F.sum("w").alias("score"))
 

@@ -90,7 +90,8 @@ def ladder_gap(spark, folder):
 def run_coverage(spark, folder):
     asked = _questions(spark, folder)
     run = _run(spark, folder, "en", depth=1)
-    return asked.agg(F.count("*").alias("n_questions")).crossJoin(metrics.missing_questions(asked, run).agg(F.count("*").alias("n_missing")))  # two single rows
+    missing = metrics.missing_questions(asked, run).withColumn("missing", F.lit(True))
+    return asked.select("qid").join(missing, "qid", "left").agg(F.count("*").alias("n_questions"), F.count_if(F.coalesce("missing", F.lit(False))).alias("n_missing"))
 
 
 def paired_mcnemar(spark, folder):
