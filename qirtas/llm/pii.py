@@ -511,14 +511,16 @@ def bounds(text: str, start: int, end: int, kind: int) -> list[tuple[int, int]]:
 
 
 def fit(documents: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Train on at most `sample_docs` texts of at most `sample_chars` characters: those with the smallest hashes.
+    """Train on at most `sample_docs` distinct texts of at most `sample_chars` characters: those with the smallest hashes.
 
-    A first bound on the hash, from the number of rows, leaves about twice the sample; only that is sorted and sent.
+    A first bound on the hash, from about the number of distinct texts, leaves about twice the sample; copies of those
+    are merged where they are read, and only what is left is sorted and sent.
     """
     hashed = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    bound = min(1 << 30, int(2 * sample_docs / max(1, documents.count()) * (1 << 30)) + 1)
     own = documents.select(F.col(text).cast("string").alias("text")).filter(F.length("text").between(1, sample_chars)).withColumn("h", hashed)
-    rows = own.filter(F.col("h") < bound).orderBy("h", "text").limit(sample_docs).select("text").collect()
+    distinct = own.agg(F.approx_count_distinct("text")).first()[0]
+    bound = min(1 << 30, int(2 * sample_docs / max(1, distinct) * (1 << 30)) + 1)
+    rows = own.filter(F.col("h") < bound).dropDuplicates(["h", "text"]).orderBy("h", "text").limit(sample_docs).select("text").collect()
     return train([r.text for r in rows])
 
 

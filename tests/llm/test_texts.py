@@ -228,3 +228,16 @@ def test_training_on_nothing(spark):
     df = spark.createDataFrame([(1, "Contact: Tomas Halsemont")], "doc_id bigint, text string")
     assert pii.found_pieces(pii.personal_information(df, empty)).count() >= 0
     assert pii.fit(df.limit(0)).skip == 0.0
+
+
+def test_copies_take_one_place_in_the_sample(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pii, "train", lambda texts: texts)
+    texts = spark.createDataFrame([(f"Contact: Tomas Halsemont, file {i}.",) for i in range(200)], "text string")
+    order = [r.text for r in texts.orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 30))).collect()]
+    # The text with the smallest hash is a third of all rows, one with a hash in the middle another half of them.
+    copies = spark.createDataFrame([(order[0],)] * 400 + [(order[100],)] * 600, "text string")
+    long = spark.createDataFrame([("x" * 50 + str(i),) for i in range(300)], "text string")
+    for rows in (texts, texts.unionByName(copies).unionByName(long)):
+        assert pii.fit(rows.repartition(4), sample_docs=40, sample_chars=40) == order[:40]
