@@ -43,14 +43,33 @@ _DOUBLE = rf"{_LAST}(?:-{_LAST})?"
 _FIRST = rf"(?:[{_L}][a-zß-ÿ]{{2,}}|[{_L}]\.)"
 NAME = rf"(?:{_DOUBLE},\s+{_FIRST}(?:\s+[{_L}]\.)?|{_FIRST}(?:\s+[{_L}]\.)?\s+{_DOUBLE})"
 _A = "[ء-غف-يـً-ْ]"
-NAME_AR = rf"{_A}{{2,}}(?:\s+{_A}{{2,}})?\s+ال{_A}{{2,}}ي"
+# Words that go on after a name or stand in its place, words that tie parts of a name, and what may follow a name.
+_NO_NAME_AR = "(?:في|على|من|إلى|عن|مع|هو|هي|هم|أن|إن|لا|ما|لم|لن|قد|كان|كانت|قال|قالت|ذكر|ذكرت|أفاد|أفادت|أكد|أكدت|أعلن|أعلنت|قدم|قدمت|طلب|طلبت|حضر|حضرت|وقع|وقعت|رئيس|رئيسة|مدير|مديرة|وزير|وزيرة|أمين|أمينة|حامل|حاملة|صاحب|صاحبة|بصفته|بصفتها|الذي|التي|هاتف|هاتفه|هاتفها|رقم|عنوانه|عنوانها|بريد)"
+_TIE_AR = "(?:عبد|أبو|أبي|أم|ابن|بن|بنت|آل)"
+_PART_AR = rf"(?:{_TIE_AR}\s+){{0,2}}(?!{_NO_NAME_AR}(?!{_A})){_A}{{2,}}"
+_AFTER_AR = rf"(?=\s*(?:[،؛,.;:()\n\r]|$)|\s+(?:و{_A}|{_NO_NAME_AR}(?!{_A})))"
+#: One or two given names and a family name in ال...ي; else a given name and one or two more, up to where the name must end; else two words.
+NAME_AR = (
+    rf"(?:{_A}{{2,}}(?:\s+{_A}{{2,}})?\s+ال{_A}{{2,}}ي(?!{_A})"
+    rf"|(?!ال){_PART_AR}(?:[ \t]+{_PART_AR}){{1,3}}{_AFTER_AR}|(?!ال){_PART_AR}[ \t]+{_PART_AR}(?!{_A}))"
+)
 _STREET = r"(?:Lane|Street|Road|Avenue|Quay|Square|Drive|Crescent|Terrace|Boulevard|Court|Way|St\.|Ave\.|Rd\.|Blvd\.|Sq\.)"
 _STREET_AR = "(?:شارع|طريق|جادة|زقاق|نهج|ميدان|حارة)"
 _ID = rf"(?:[{_L}]{{2}}\s?{_D}{{7}}|{_D}{{3}}\.{_D}{{3}}\.{_D}{{3}}-{_D}{{2}}|{_D}{{2}}-{_D}{{7}}-{_D}|{_D}{{3}}\s{_D}{{4}}\s{_D}{{3}}|{_D}{{9,10}})"
 
 EMAIL_PATTERN = re.compile(r"[\w.+-]+(?:\s?@\s?|\s?[\[(]at[\])]\s?)[A-Za-z][\w-]*(?:(?:\.|\s?[\[(]dot[\])]\s?)[A-Za-z][\w-]*)+", re.I)
-PHONE_PATTERN = re.compile(
-    rf"(?<![\w/.-])(?:(?:[+]|00|٠٠)(?:999|٩٩٩)[\s-]?(?:\({_D}{{2}}\)|{_D}{{2}})[\s-]?{_D}{{3}}[\s-]?{_D}{{4}}|\({_D}{{3}}\)\s?{_D}{{3}}-{_D}{{4}}|{_D}{{3}}[./](?:555|٥٥٥)[.\s]{_D}{{4}})(?![\w-])"
+# Groups of digits of a telephone number, with one sign or bracket between them; `n` to `m` digits after the first.
+_GROUPS = rf"(?:[ \u00a0./-]?[(]?{_D}[)]?)"
+PHONE_PATTERNS = (
+    # by shape: any country code after + or 00; area code in brackets; three groups of 3, 3 and 4
+    re.compile(rf"(?<![\w/.-])(?:[+]|00|٠٠)(?:999|٩٩٩)[\s-]?(?:\({_D}{{2}}\)|{_D}{{2}})[\s-]?{_D}{{3}}[\s-]?{_D}{{4}}(?![\w-])"),
+    re.compile(rf"(?<![\w/.+-])(?:[+] ?(?![0٠])|(?:00|٠٠)[ -]?(?![0٠])){_D}{_GROUPS}{{6,14}}(?![\w-]|[.,/]{_D})"),
+    re.compile(rf"(?<![\w/.+-])(?:\({_D}{{2,5}}\)[ -]?{_D}{{3,4}}[ .-]?{_D}{{3,4}}|\({_D}{{3}}\)\s{_D}{{3}}-{_D}{{4}}|{_D}{{3}}([./-]){_D}{{3}}(?:\1|[.\s]){_D}{{4}})(?![\w-]|[.,/]{_D})"),
+)
+# by the words before: any number of six to fifteen digits
+PHONE_CONTEXTS = (
+    re.compile(rf"\b(?:tel|telephone|phone|fax|telefax|mobile|cell|cellphone|whatsapp|téléphone|tél|portable)\b\.?(?:\s+(?:no\.?|number|nos\.?))?(?:\s+(?:is|was|at|on))?\s*:?\s*((?:[+]\s?)?[(]?{_D}{_GROUPS}{{5,14}})(?![\w-]|[.,/]{_D})", re.I),
+    re.compile(rf"(?<!{_A})[وبل]?(?:ال|لل)?(?:هاتف|فاكس|جوال|محمول|تليفون|تلفون)(?:ه|ها|هم)?(?!{_A})(?:\s+(?:رقم|المحمول|الجوال|هو))?\s*:?\s*((?:[+]\s?)?[(]?{_D}{_GROUPS}{{5,14}})(?![\w-]|[.,/]{_D})"),
 )
 ID_PATTERNS = (
     re.compile(rf"(?:passport|identity card|identity number|ID number|ID card)(?:\s+no\.|\s+number)?\s+({_ID})(?!\w)", re.I),
@@ -67,9 +86,11 @@ NAME_PATTERNS = tuple(
     for x in (
         rf"signed by\s+({NAME}),\s+holder", rf"panel heard\s+({NAME}),", rf"panel heard\s+{NAME},\s+({NAME})\s+and", rf"sent to\s+({NAME}),", rf"details call\s+({NAME})\s+on", rf"the\s+file\s+of\s+({NAME})\s+is",
         rf"issued\s+to\s+({NAME})\s+in", rf"the file,\s+({NAME})\s+was", rf"reached us from\s+({NAME})[\s,]", rf"reached us from\s+{NAME}\s+and\s+from\s+({NAME})[,\s]", rf"taken by\s+({NAME});", rf"driver,\s+({NAME}),",
-        rf"\(Signed\)\s+({NAME})", rf"Contact:\s+({NAME}),", rf"(?:Mr|Ms|Mrs|Dr|Prof)\.\s+({NAME})", rf"({NAME});[+(0-9]", rf"[Ff]ocal point:\s+({NAME})\s",
+        rf"\(Signed\)\s+({NAME})", rf"Contact:\s+({NAME}),", rf"\b(?:(?:Mr|Ms|Mrs|Dr|Prof)\.?|Miss|Professor|Judge|Ambassador|Sir|Dame|M\.|Mme|Mlle)\s+({NAME})", rf"({NAME});[+(0-9]", rf"[Ff]ocal point:\s+({NAME})\s",
         rf"استمع الفريق إلى\s+({NAME_AR})\s+و", rf"وإلى\s+({NAME_AR})\s+في", rf"بالسيدة?\s+({NAME_AR})\s+على", rf"السيدة?\s+({NAME_AR})[،\s]", rf"رقم هوية\s+({NAME_AR})\s+هو", rf"الاستفسارات إلى\s+({NAME_AR})\s+على",
         rf"جهة الاتصال:\s+({NAME_AR})\s", rf"الدكتورة?\s+({NAME_AR})(?=[.\s])", rf"\(توقيع\)\s+({NAME_AR})(?=\s|$)",
+        rf"\b(?:[Ww]itness|[Aa]pplicant|[Cc]laimant|[Cc]omplainant|[Cc]hair|[Cc]hairperson|[Rr]apporteur|[Ss]ecretary|[Nn]ame)(?::|,)\s+({NAME})(?=[,.;\n]|$)",
+        rf"(?<!{_A})[وبل]?(?:ال|لل)?(?:سيد|سيدة|آنسة|دكتور|دكتورة|أستاذ|أستاذة|مهندس|مهندسة|قاضي|قاضية|سفير|سفيرة)\s+({NAME_AR})(?!{_A})", rf"(?<!{_A})(?:الشاهدة?|المحامية?|المقررة?|الاسم|صاحب الطلب|مقدم الطلب)[:،]\s+({NAME_AR})(?!{_A})",
     )
 )
 
@@ -89,8 +110,12 @@ def label(text: str) -> list[tuple[int, int, int]]:
     for p in ID_PATTERNS:
         for m in p.finditer(text):
             add(*m.span(1), 3)
-    for m in PHONE_PATTERN.finditer(text):
-        add(*m.span(), 2)
+    for p in PHONE_PATTERNS:
+        for m in p.finditer(text):
+            add(*m.span(), 2)
+    for p in PHONE_CONTEXTS:
+        for m in p.finditer(text):
+            add(*m.span(1), 2)
     for m in ADDRESS_PATTERN.finditer(text):
         add(*m.span(), 4)
     for p in NAME_PATTERNS:
@@ -479,7 +504,7 @@ def bounds(text: str, start: int, end: int, kind: int) -> list[tuple[int, int]]:
         while piece and not piece[-1].isdigit():
             piece = piece[:-1]
         digits = sum(c.isdigit() for c in piece)
-        return [(start, start + len(piece))] if digits >= (7 if kind == 2 else 6) else []
+        return [(start, start + len(piece))] if digits >= 6 else []
     if kind == 1:
         piece = piece.rstrip(".,;:>")
         first = re.search(r"^[^@\[(]*[,;]\s+", piece)

@@ -241,3 +241,31 @@ def test_copies_take_one_place_in_the_sample(spark, monkeypatch):
     long = spark.createDataFrame([("x" * 50 + str(i),) for i in range(300)], "text string")
     for rows in (texts, texts.unionByName(copies).unionByName(long)):
         assert pii.fit(rows.repartition(4), sample_docs=40, sample_chars=40) == order[:40]
+
+
+FORMS = [
+    ("Contact: Jan Smit, tel. +44 20 7946 0958.", ["Jan Smit", "+44 20 7946 0958"]), ("He gave the number +961 1 234567 and left.", ["+961 1 234567"]), ("Tel: (020) 7946 0958", ["(020) 7946 0958"]), ("Fax 212-736-5000; no answer", ["212-736-5000"]),
+    ("phone: 01 42 68 53 00.", ["01 42 68 53 00"]), ("tel. 234567, mornings", ["234567"]), ("هاتف: +961 1 234567", ["+961 1 234567"]), ("telephone 00961 3 123456\n12. In 2009", ["00961 3 123456"]), ("write or call 415.736.5000 at night", ["415.736.5000"]),
+    ("السيد أحمد خليل قدم التقرير", ["أحمد خليل"]), ("(توقيع) كريم منصور\nنص", ["كريم منصور"]), ("قال السيد محمد بن عبد الله إن", ["محمد بن عبد الله"]), ("الدكتورة نورا الحسن.", ["نورا الحسن"]), ("استمع الفريق إلى سمير حداد وإلى رنا خوري في", ["سمير حداد", "رنا خوري"]), ("Ambassador Jan Smit spoke", ["Jan Smit"]),
+    ("السيد الأمين العام", []), ("an amount of 57 669 302 dollars; invoice 63-2750049-5; A/46/93087; section 46.64.61; 1999-2004", []), ("طلبت ثورالون 57 669 302 دولار", []),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), FORMS)
+def test_labels_of_any_country_and_family_name(text, want):
+    assert [text[a:b] for a, b, _ in pii.label(text)] == want
+
+
+def test_the_model_learns_other_forms():
+    rng = random.Random(5)
+    given, family = ["أحمد", "سمير", "كريم", "ليلى", "رنا"], ["خليل", "حداد", "منصور", "خوري", "قاسم"]
+
+    def one():
+        d = "".join(rng.choice("123456789") for _ in range(12))
+        return rng.choice([f"For details call +44 {d[:2]} {d[2:6]} {d[6:10]} before noon.", f"Contact: Tomas Halsemont, tel. +961 {d[0]} {d[1:7]}.", f"قال السيد {rng.choice(given)} {rng.choice(family)} إن الجلسة {d[:3]} انتهت.", f"The stock holds {d[:3]},{d[3:6]} lamps."])
+
+    finder = pii.Finder(pii.train(sample() + [one() for _ in range(400)]))
+    held = ["For details call +44 20 7946 0958 before noon.", "Contact: Tomas Halsemont, tel. +961 1 234567.", "قال السيد وليد نجار إن الجلسة 120 انتهت."]
+    row, start, end, kind = finder.find(pa.array(held))
+    got = [held[r][x:y] for r, s, e, k in zip(row.tolist(), start.tolist(), end.tolist(), kind.tolist(), strict=True) for x, y in pii.bounds(held[r], s, e, k)]
+    assert got == ["+44 20 7946 0958", "Tomas Halsemont", "+961 1 234567", "وليد نجار"]
