@@ -153,7 +153,7 @@ def _window(value: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray
 
 
 def hits(text: pa.Array, items: Items, words: int = WORDS, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, item number, words of the longest exact run, counted up to about 2 * words) of each pair with a verified hit."""
+    """(row, item number, words of the longest exact run) of each pair with a verified hit."""
     none = (np.zeros(0, np.int64),) * 3
     value, rows, _, edge = folded(text)
     size = items.size
@@ -200,31 +200,48 @@ def _verify(value, rows, edge, at, row, item, place, items, words, budget):
     at, row, item, place, low, high, item_low, item_high = (x[keep] for x in (at, row, item, place, low, high, item_low, item_high))
     if not len(at):
         return row, item, row
-    # The run around the piece that agrees exactly, as far as it matters.
-    steps = np.arange(reach)
-    ahead = _window(items.value, place + size, item_low, item_high, steps, 0) == _window(value, at + size, low, high, steps, 1)
-    behind = _window(items.value, place - 1, item_low, item_high, -steps, 0) == _window(value, at - 1, low, high, -steps, 1)
-    ahead = np.where(ahead.all(axis=0), reach, np.argmin(ahead, axis=0))
-    behind = np.where(behind.all(axis=0), reach, np.argmin(behind, axis=0))
-    begin, end = place - behind, place + size + ahead
-    shift = at - place
+    # Pieces that follow each other on both sides are of one run, which is followed from its first and its last.
+    order = np.lexsort((place, at - place, item, row))
+    at, row, item, place, low, high, item_low, item_high = (x[order] for x in (at, row, item, place, low, high, item_low, item_high))
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(place) != size) | (np.diff(at) != size) | (np.diff(item) != 0) | (np.diff(row) != 0)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    ahead = _agreement(value, items.value, at[last] + size, place[last] + size, low[last], high[last], item_low[last], item_high[last], 1, reach)
+    behind = _agreement(value, items.value, at[first] - 1, place[first] - 1, low[first], high[first], item_low[first], item_high[first], -1, reach)
+    begin, end = place[first] - behind, place[last] + size + ahead
+    shift, row, item = (at - place)[first], row[first], item[first]
     ends = np.append(items.word_starts[1:], items.rows[-1])
     first = np.searchsorted(items.word_starts, begin)
     last = np.searchsorted(ends, end, side="right")
-    # A word at the rim counts only if it is a whole word of the document too.
-    some = first < last
-    first = first + (some & ~edge[np.where(some, items.word_starts[np.minimum(first, len(ends) - 1)] + shift, 0)])
-    some = first < last
-    last = last - (some & ~edge[np.where(some, ends[np.maximum(last - 1, 0)] + shift, 0)])
+    # The run begins and ends with whole words of the document too.
+    while (some := np.flatnonzero(first < last)[~edge[(items.word_starts[first[first < last]] + shift[first < last])]]).size:
+        first[some] += 1
+    while (some := np.flatnonzero(first < last)[~edge[(ends[last[first < last] - 1] + shift[first < last])]]).size:
+        last[some] -= 1
     return row, item, np.maximum(last - first, 0)
 
 
+def _agreement(value, item_value, at, place, low, high, item_low, item_high, sign, step):
+    """How many characters agree from at and place on: in steps, to the first mismatch or the end of the item or document."""
+    out = np.zeros(len(at), np.int64)
+    steps = sign * np.arange(step)
+    on = np.arange(len(at))
+    while len(on):
+        done = sign * out[on]
+        same = _window(item_value, place[on] + done, item_low[on], item_high[on], steps, 0) == _window(value, at[on] + done, low[on], high[on], steps, 1)
+        n = np.where(same.all(axis=0), step, np.argmin(same, axis=0))
+        out[on] += n
+        on = on[n == step]
+    return out
+
+
 def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, budget: int = BUDGET, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(key, item_key, n_words): the documents and items that share a piece whose surroundings agree within `budget` edits.
 
     n_words is the longest run of whole item words the document holds exactly, without regard to case, punctuation,
-    spacing, line breaks, vowel marks and kashida; runs are counted up to a little over `words` on either side of a
-    hit.  A pair with n_words >= `words` holds them for certain, and every such pair is found.
+    spacing, line breaks, vowel marks and kashida; runs are followed from a hit to their ends, however long they are.
+    A pair with n_words >= `words` holds them for certain, and every such pair is found.
 
     A word is what stands between white space and has a letter or digit.  NULL, empty and too short texts and items
     give no rows; a NULL key is kept for documents, items without id are passed over; repeated rows count once.

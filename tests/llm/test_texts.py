@@ -135,6 +135,19 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaks(d, t.limit(0)).count() == 0 and leakage.leaks(d.limit(0), t).count() == 0
 
 
+def test_whole_long_items_are_counted_whole():
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n)]
+    items = [" ".join(words(n)) for n in (120, 40, 90, 700)]
+    long = items[0].split()
+    docs = [f"before {items[0]} after", items[3], " ".join(items[1].split()[3:]), " ".join([*long[:50], "other", *long[51:]]), "x" + " ".join(long[:30]), "x" + "".join(long[:4]) + " " + " ".join(long[4:60]) + "y", " ".join(long[:70]) + " " + items[0], (items[2] + " ") * 3]
+    prepared = leakage.prepare(list(range(4)), items)
+    row, item, n = leakage.hits(pa.array(docs), prepared)
+    got = dict(zip(zip(row.tolist(), item.tolist(), strict=True), n.tolist(), strict=True))
+    want = {(0, 0): 120, (1, 3): 700, (2, 1): 37, (3, 0): 69, (4, 0): 29, (5, 0): 55, (6, 0): 120, (7, 2): 90}
+    assert got == want and all(brute(docs[i], items[j]) == k for (i, j), k in want.items() if j != 3)
+
+
 def test_myers_within_the_budget():
     import numpy as np
 
