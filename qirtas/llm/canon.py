@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from ..operators.lineage import spread
 from . import flat
 
+# The part of plane 14 that does not show, assigned or not (tags, further variation selectors).
+PLANE_14 = range(0xE0000, 0xE1000)
 # Characters that do not show (Default_Ignorable_Code_Point, and controls besides tabs and line ends).
 IGNORABLE = (
     *range(0x00, 0x09), *range(0x0E, 0x20), *range(0x7F, 0x85), *range(0x86, 0xA0), 0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810),
     *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0, *range(0xFFF0, 0xFFFC),
-    *range(0x1BCA0, 0x1BCA4), *range(0x1D173, 0x1D17B),
+    *range(0x1BCA0, 0x1BCA4), *range(0x1D173, 0x1D17B), *PLANE_14,
 )
 # Letters of other scripts and the Latin letters they look like, capitals first.
 LOOKALIKES_FROM = "АВСЕНІЈКМОРЅТУХԚԜасеһіјорԛѕԝухΑΒΕΖΗΙΚΜΝΟΡΤΥΧοινυՕօՍսոհ"
@@ -48,7 +50,7 @@ _SPACES = str.maketrans({chr(i): " " for i in range(0x3001) if unicodedata.categ
 _RUN = re.compile(r"[^\W\d_]+")
 _OTHER_SCRIPT = re.compile("[\u0370-\u058f\u1f00-\u1fff\u2c60-\u2dff\ua640-\ua69f]")
 _PERSIAN = re.compile(f"[{PERSIAN_FROM}]")
-_UNSHOWN = re.compile("[" + "".join(map(re.escape, map(chr, (*IGNORABLE, *map(ord, (c for c in map(chr, range(0x3001)) if unicodedata.category(c) == "Zs" and c != " ")))))) + "]")
+_UNSHOWN = re.compile(f"[{chr(PLANE_14[0])}-{chr(PLANE_14[-1])}" + "".join(map(re.escape, map(chr, (*(i for i in IGNORABLE if i not in PLANE_14), *map(ord, (c for c in map(chr, range(0x3001)) if unicodedata.category(c) == "Zs" and c != " ")))))) + "]")
 
 _UNSHOWN_MAP = _HIDDEN | _SPACES
 
@@ -77,12 +79,20 @@ def kinds() -> np.ndarray:
             out[i] = LOOK_CLOSER
         elif unicodedata.category(ch) == "Nd" and not (ch.isascii() or 0x660 <= i < 0x66A):
             out[i] = STANDS_IN
-    out[list(IGNORABLE)] = STANDS_IN
+    out[[i for i in IGNORABLE if i < flat.TABLE]] = STANDS_IN
     out[list(LIGATURES)] = STANDS_IN
     out[[ord(c) for c in PERSIAN_FROM]] = STANDS_IN
     return out
 
 
+def kinds_of(points: np.ndarray) -> np.ndarray:
+    """`kinds` of each code point, also of those beyond the table."""
+    out = flat.look_up(kinds(), points)
+    if len(points) and points.max() >= PLANE_14[0]:
+        out[(points >= PLANE_14[0]) & (points <= PLANE_14[-1])] = STANDS_IN
+    return out
+
+
 def script(ch: str) -> str:
     name = unicodedata.name(ch, "").split(" ", 1)[0]
     return name if name in ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN") else ""
@@ -143,7 +153,6 @@ def canonicalize(df: DataFrame, keys: list[str], value: str = "value") -> DataFr
     n_keys = len(keys)
 
     def run(batches):
-        table = kinds()
         for batch in batches:
             coded = pc.dictionary_encode(batch.column(n_keys))
             distinct = coded.dictionary
@@ -152,7 +161,7 @@ def canonicalize(df: DataFrame, keys: list[str], value: str = "value") -> DataFr
             for a, b in flat.slices(text):
                 part = text.slice(a, b - a)
                 points, rows = flat.code_points(part)
-                kind = flat.look_up(table, points)
+                kind = kinds_of(points)
                 sure = np.diff(np.concatenate(([0], np.cumsum(kind == STANDS_IN)))[rows]) > 0
                 open_ = (np.diff(np.concatenate(([0], np.cumsum(kind == LOOK_CLOSER)))[rows]) > 0) & ~sure
                 values = part.to_pylist()

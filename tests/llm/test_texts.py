@@ -24,6 +24,14 @@ def test_values_that_only_look_right(spark):
     assert forms["ہالفاسک"] == "هالفاسك" and forms["٢۸"] == "٢٨" and forms["‏"] == "" and forms["Ѕ/56/914"] == "s/56/914"
 
 
+def test_hidden_characters_of_plane_14(spark):
+    odd = ["of\U000e0041fice", "\U000e0001", "नि\U000e0100", "x\U000e01efy", "\U000e0fff"]
+    plain = ["\U0001f600", "\U00020000", "\U000e1000", "x"]
+    got = canon.canonicalize(spark.createDataFrame(list(enumerate(odd + plain)), "k int, value string"), ["k"]).orderBy("k").collect()
+    assert [r.changed for r in got] == [True] * 5 + [False] * 4
+    assert [r.canonical for r in got[:5]] == ["office", "", "नि", "xy", ""] and [r.canonical for r in got[5:]] == plain
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=20))
 def test_the_form_is_stable(text):
