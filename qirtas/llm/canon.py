@@ -32,6 +32,9 @@ IGNORABLE = (
 # Letters of other scripts and the Latin letters they look like, capitals first.
 LOOKALIKES_FROM = "АВСЕНІЈКМОРЅТУХԚԜасеһіјорԛѕԝухΑΒΕΖΗΙΚΜΝΟΡΤΥΧοινυՕօՍսոհ"
 LOOKALIKES_TO = "ABCEHIJKMOPSTYXQWacehijopqswyxABEZHIKMNOPTYXoivuOoUunh"
+# Further letters that resemble Latin ones, in words that also hold Latin letters; genuine words may consist of them.
+MIXED_FROM = "αγκρχϳϜϺԁѵӏӀүһгѡьЬԌёїӑӓѐӧӱգզռցքյՏԼ"
+MIXED_TO = "aykpxjFMdvlIyhrwbbGëïăäèöÿqqngfjSL"
 # Persian and Urdu letters and digits, and the Arabic ones they look like.
 PERSIAN_FROM = "یکہھەۃ۰۱۲۳۴۵۶۷۸۹"
 PERSIAN_TO = "يكهههة٠١٢٣٤٥٦٧٨٩"
@@ -41,8 +44,12 @@ SAME_LOOKING = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isol
 LIGATURES = (*range(0xFB00, 0xFB50), 0x132, 0x133, *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), *range(0x2160, 0x2180))
 
 _TO_LATIN = dict(zip(LOOKALIKES_FROM, LOOKALIKES_TO, strict=True))
+_TO_LATIN_MIXED = dict(zip(MIXED_FROM, MIXED_TO, strict=True)) | _TO_LATIN
+for _a, _b in list(_TO_LATIN_MIXED.items()):  # the form must not depend on case: a capital without a double takes its small letter's
+    if len(_a.upper()) == 1:
+        _TO_LATIN_MIXED.setdefault(_a.upper(), _b.upper())
 _FROM_LATIN = {"CYRILLIC": {}, "GREEK": {}}
-for _a, _b in _TO_LATIN.items():
+for _a, _b in (*_TO_LATIN.items(), *((a, b) for a, b in zip(MIXED_FROM, MIXED_TO, strict=True) if b not in _TO_LATIN.values())):
     _FROM_LATIN.setdefault(unicodedata.name(_a).split(" ", 1)[0], {}).setdefault(_b, _a)
 _TO_ARABIC = str.maketrans(PERSIAN_FROM, PERSIAN_TO)
 _HIDDEN = dict.fromkeys(IGNORABLE)
@@ -112,7 +119,7 @@ def _word(word: str) -> str:
     own = [c for c, s in zip(word, scripts, strict=True) if s == other and c not in _TO_LATIN]
     if own and scripts.count(other) >= scripts.count("LATIN"):
         return "".join(_FROM_LATIN[other].get(c, c) if s == "LATIN" else c for c, s in zip(word, scripts, strict=True))
-    return "".join(_TO_LATIN.get(c, c) for c in word)
+    return "".join(_TO_LATIN_MIXED.get(c, c) for c in word)
 
 
 def one_script(text: str) -> str:

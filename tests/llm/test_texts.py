@@ -24,6 +24,15 @@ def test_values_that_only_look_right(spark):
     assert forms["ہالفاسک"] == "هالفاسك" and forms["٢۸"] == "٢٨" and forms["‏"] == "" and forms["Ѕ/56/914"] == "s/56/914"
 
 
+def test_further_letters_in_latin_words(spark):
+    odd = {"b\u03b1nk": "bank", "pa\u03c1er": "paper", "boo\u03ba": "book", "te\u03c7t": "text", "da\u03b3s": "days", "bor\u0501er": "border", "he\u04cflo": "hello", "\u04c0sland": "island", "ri\u0475er": "river", "BA\u0393S": "bays", "lo\u0581o": "logo", "\u0548orth": "north"}
+    genuine = ["\u03ba\u03b1\u03c1", "\u03c7\u03b1\u03c1\u03b1", "\u0433\u043e\u0440\u0430", "\u0561\u0581\u0584"]
+    got = canon.canonicalize(spark.createDataFrame(list(enumerate([*odd, *genuine])), "k int, value string"), ["k"]).orderBy("k").collect()
+    assert [r.changed for r in got] == [True] * len(odd) + [False] * len(genuine)
+    assert [r.canonical for r in got] == [*odd.values(), *genuine]
+    assert canon.canonical("\u0433o\u0440\u0430") == "\u0433\u043e\u0440\u0430"
+
+
 def test_hidden_characters_of_plane_14(spark):
     odd = ["of\U000e0041fice", "\U000e0001", "नि\U000e0100", "x\U000e01efy", "\U000e0fff"]
     plain = ["\U0001f600", "\U00020000", "\U000e1000", "x"]
