@@ -25,13 +25,14 @@ BOUNDARIES = (r"(?<=\n)", r"(?<=[.!?؟…][\"'”’»)\]]{0,2}\s)", r"(?<=[;:؛
 def pattern(limit: int, overlap: int) -> str:
     """The expression whose matches are the pieces' own parts, each at most limit - overlap code points.
 
-    A boundary counts in the second half of what the limit allows, so that pieces do not get needlessly short.
+    A boundary in the second half of what the limit allows comes first, so that pieces do not get needlessly short; then
+    any other, so that characters are cut only inside a run that does not fit whole.
     """
     most = limit - overlap
     if overlap < 0 or most < 2:
         raise ValueError("the limit must exceed the overlap by two at least")
     least = max(1, most // 2)
-    return "(?s)" + "|".join([rf".{{1,{most}}}\z", *(rf".{{{least},{most}}}{b}" for b in BOUNDARIES), rf".{{1,{most}}}"])
+    return "(?s)" + "|".join([rf".{{1,{most}}}\z", *(rf".{{{n},{most}}}{b}" for n in (least, 1) for b in BOUNDARIES[:-1]), rf".{{{least},{most}}}{BOUNDARIES[-1]}", rf".{{1,{most}}}"])
 
 
 def parts(text: Column, limit: int, overlap: int = OVERLAP) -> Column:

@@ -151,6 +151,19 @@ def test_strong_boundaries_come_first(spark):
             splitting.pattern(*bad)
 
 
+def test_a_run_that_fits_is_not_torn(spark):
+    link = "h" * 500
+    texts = ["See the page. " + link + " and so on " + link + " to the end.", "Row\n" + "x" * 700 + "\n" + "y" * 719 + " end", "a " + "z" * 1500]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    own = [[p["part"] for p in r.p] for r in df.select(splitting.parts(F.col("text"), 800, 80).alias("p"), "k").orderBy("k").collect()]
+    assert ["".join(x) for x in own] == texts and all(len(p) <= 720 for x in own for p in x)
+    assert own[0] == ["See the page. " + link + " and so on ", link + " to the end."] and own[1] == ["Row\n" + "x" * 700 + "\n", "y" * 719 + " ", "end"]
+    link = "h" * 600
+    text = "See " + "the page " * 30 + link + " and the end of it " * 10
+    own = [p["part"] for p in spark.createDataFrame([(text,)], "text string").select(splitting.parts(F.col("text"), 800, 80).alias("p")).first().p]
+    assert "".join(own) == text and any(link in p for p in own)
+
+
 def test_very_long_items(spark):
     text = "Some words of a sentence, and more. " * 20_000
     got = splitting.split(spark.createDataFrame([(1, text)], "k int, text string"), ["k"], 2000).orderBy("piece_no").collect()
