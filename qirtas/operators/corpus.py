@@ -231,5 +231,5 @@ def token_ratio(chunks: DataFrame, by: list[str]) -> DataFrame:
 
 
 def keep_wanted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is wanted: a semi-join that broadcasts the keys only if they are proven few."""
+    """Rows whose key is wanted: a semi-join that writes the keys once and broadcasts them only if they are proven few."""
     return rows.join(small_or_not(wanted.select(key).distinct()), key, "left_semi")

@@ -2,19 +2,21 @@
 
 Intermediate tables go to the shared folder the session names in
 `spark.checkpoint.dir`, so a lost executor never loses them.  Only where the
-setting is unset (local tests) a folder of this machine is taken.
+setting is unset and all runs in one process (local tests) a folder of this
+machine is taken; on a cluster without the setting nothing is written.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only up to this many rows (of a few dozen bytes each: some tens of MB).
-BROADCAST_ROWS = 400_000
+#: A side of a join is broadcast only up to this many rows and bytes (of its values as text, with 16 for each row).
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = found.get() if found.isDefined() else None
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="qirtas-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -43,21 +47,34 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Remove the files behind a table of `materialize` that no later plan reads."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/qirtas-" in name:
-            at = jvm.org.apache.hadoop.fs.Path(name)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def _written_files(df: DataFrame) -> list[str]:
+    """The files `df` reads, if all are of `materialize`; else none."""
+    files = df.inputFiles()
+    return files if files and all("/qirtas-" in f for f in files) else []
 
 
-def small_or_not(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it is proven to have at most `most` rows, else unchanged (a shuffled join follows).
+def drop_table(*tables: DataFrame) -> None:
+    """Remove the files behind tables of `materialize` that no later plan reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/qirtas-" in name:
+                at = context._jvm.org.apache.hadoop.fs.Path(name)
+                at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
-    Call it on a materialized table: the count is a read of its footers.
+
+def small_or_not(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if it is proven to have at most `most` rows and `most_bytes` bytes, else without (a shuffled join follows).
+
+    What is measured is a written table: a plan over others is written first, so it is not run twice.
     """
-    return F.broadcast(df) if df.count() <= most else df
+    if not _written_files(df):
+        df = materialize(df)
+    size = F.lit(16)
+    for c in df.columns:
+        size = size + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0))
+    rows, held = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and held <= most_bytes else df
 
 
 def spread(df: DataFrame) -> DataFrame:

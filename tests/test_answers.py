@@ -193,23 +193,40 @@ def test_option_order(spark):
     assert spark.range(1).select(questions.unswap(F.lit("x"), F.lit(True))).first()[0] is None
 
 
-def test_build_loop():
-    tried = []
+def _tries(status):
+    return lambda wave: wave.withColumn("status", status)
 
-    def attempt(c, direction):
-        tried.append(direction)
-        return {"status": "accepted", "record": {"c": c, "d": direction}, "usage": {"t": 1}} if c % 3 else {"status": "missing_fields"}
 
-    b = questions.build("single", attempt, range(100), 5, 50)
-    assert len(b.accepted) == 5 and b.stopped is None and sum(r["d"] == "en->ar" for r in b.accepted) == 2 and b.usage["t"] == 5
-    assert tried[:2] == ["en->ar", "ar->en"]
-    assert questions.build("single", attempt, range(2), 5, 50).stopped == "candidates exhausted"
-    assert questions.build("single", attempt, range(100), 50, 10).stopped == "max_candidates (10) reached"
+def test_build_in_waves(spark):
+    candidates = questions.numbered(spark.range(100).withColumnRenamed("id", "c"), [F.col("c").desc()], 50)
+    assert candidates.count() == 50 and candidates.filter("place = 0").first().c == 99
+    status = F.when(F.col("c") % 3 != 0, "accepted").otherwise("missing_fields")
+    b = questions.build(candidates, _tries(status), 5)
+    assert b.accepted == {"en->ar": 2, "ar->en": 3} and b.ended == "complete"
+    rows = b.attempts.orderBy("place").collect()
+    assert [r.place for r in rows] == list(range(len(rows))) and [r.direction for r in rows[:4]] == ["en->ar", "ar->en", "en->ar", "ar->en"]
+    assert sum(r.status == "accepted" for r in rows) == 5 and rows[-1].wave > 0
 
-    def limited(c, d):
-        raise questions.DailyLimit("enough")
 
-    assert questions.build("single", limited, range(3), 1, 5).stopped == "daily limit: enough"
+def test_build_never_passes_a_quota(spark):
+    candidates = spark.range(60).select(F.col("id").cast("int").alias("place"))
+    one_sided = F.when(F.col("direction") == "ar->en", "accepted").otherwise("not_answerable_translated")
+    b = questions.build(candidates, _tries(one_sided), 8)
+    assert b.accepted == {"en->ar": 0, "ar->en": 4} and b.ended == "no candidates left" and b.attempts.count() == 60
+
+
+def test_build_ends(spark):
+    candidates = spark.range(3).select(F.col("id").cast("int").alias("place"))
+    assert questions.build(candidates, _tries(F.lit("accepted")), 5).ended == "no candidates left"
+    out = questions.build(candidates, _tries(F.when(F.col("place") == 0, "accepted").otherwise("no_allowance")), 3)
+    assert out.ended == "allowance used up" and out.accepted == {"en->ar": 1, "ar->en": 0} and out.attempts.count() == 1
+    for rows, target in ((candidates.limit(0), 4), (candidates, 0)):
+        empty = questions.build(rows, _tries(F.lit("accepted")), target)
+        assert empty.attempts.count() == 0 and empty.accepted == {"en->ar": 0, "ar->en": 0}
+    assert questions.build(candidates, _tries(F.lit("accepted")), 1).accepted == {"en->ar": 0, "ar->en": 1}
+
+
+def test_prompts_version():
     assert questions.prompts_version({"a": "x"}) != questions.prompts_version({"a": "y"})
 
 
