@@ -49,23 +49,24 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_pieces(spark, folder).filter("piece_no = 0").select("unit", "doc_id", "lang", "item_key")
 
 
-def _near(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _chunk_texts(spark: SparkSession, folder: str) -> DataFrame:
     chunks = _read(spark, folder, "chunks")
-    return neardup.near_duplicates(chunks.select(F.col("chunk_id").alias("id"), F.lit("en").alias("lang"), F.col("en").alias("text")).unionAll(chunks.select("chunk_id", F.lit("ar"), "ar")))
+    return chunks.select(F.col("chunk_id").alias("id"), F.lit("en").alias("lang"), F.col("en").alias("text")).unionAll(chunks.select("chunk_id", F.lit("ar"), "ar"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.pairs_of_ids(*_near(spark, folder)).select(F.col("id_1").alias("chunk_id_1"), F.col("id_2").alias("chunk_id_2"))
+    return neardup.pairs_of_ids(*neardup.near_duplicates(_chunk_texts(spark, folder))).select(F.col("id_1").alias("chunk_id_1"), F.col("id_2").alias("chunk_id_2"))
 
 
 def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per chunk and language: its class of equal texts, how many share it, and how many classes are near."""
-    return neardup.classes(*_near(spark, folder)).withColumnRenamed("id", "chunk_id").withColumn("class", F.hex("class"))
+    """One row per chunk and language: its class of equal texts, how many share it, and the group of near classes."""
+    own = neardup.classes(*neardup.near_groups(_chunk_texts(spark, folder)))
+    return own.withColumnRenamed("id", "chunk_id").withColumns({"class": F.hex("class"), "near": F.hex("near")})
 
 
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per chunk: the group of chunks it is near to, directly or through others."""
-    members, links = _near(spark, folder)
+    """One row per chunk: the group of chunks it is near to, in either language, directly or through others."""
+    members, links = neardup.near_groups(_chunk_texts(spark, folder))
     first = members.groupBy("class").agg(F.min("id").alias("rep"))
     star = members.join(first, "class").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     ends = links.join(first.select(F.col("class").alias("class_1"), F.col("rep").alias("a")), "class_1").join(first.select(F.col("class").alias("class_2"), F.col("rep").alias("b")), "class_2")

@@ -62,8 +62,49 @@ def test_near_duplicates_equal_brute_force(spark):
     assert set(got) == want and len(got) == len(want) and len(want) > 20
     table = {r.id: r for r in neardup.classes(members, links).collect()}
     assert table["d000"].n_copies == 3 and len(table) == sum(bool(x) for x in s)
-    members, links = neardup.near_duplicates(df.limit(0))
-    assert neardup.pairs_of_ids(members, links).count() == 0
+    near = {}
+    for r in table.values():
+        near.setdefault(r.near, set()).add(r.id)
+    parent = {x: x for x in table}
+    for a, b in sorted(want):
+        old, new = sorted((parent[a], parent[b]))[::-1]
+        parent = {k: new if v == old else v for k, v in parent.items()}
+    groups_wanted = {frozenset(k for k in parent if parent[k] == v) for v in parent.values()}
+    assert set(map(frozenset, near.values())) == groups_wanted
+    # groups without pairs: the same groups from fewer links
+    some, few = neardup.near_groups(df)
+    by_group = {}
+    for r in neardup.classes(some, few).collect():
+        by_group.setdefault(r.near, set()).add(r.id)
+    assert set(map(frozenset, by_group.values())) == groups_wanted and few.count() <= links.count()
+    for make in (neardup.near_duplicates, neardup.near_groups):
+        members, links = make(df.limit(0))
+        assert neardup.pairs_of_ids(members, links).count() == 0 and neardup.classes(members, links).count() == 0
+
+
+def test_languages_are_not_compared(spark):
+    text = "the committee took note of the report on the water plant and the school meals of the northern district"
+    close = text.replace("northern", "southern") + " and closed its session there"
+    rows = [("a", "en", text), ("b", "ar", text), ("c", "es", text), ("d", "en", text + " x"), ("a", "en", close * 3), ("e", "en", close * 3)]
+    df = spark.createDataFrame(rows, "id string, lang string, text string")
+    members, links = neardup.near_duplicates(df)
+    assert {(r.id_1, r.id_2) for r in neardup.pairs_of_ids(members, links).collect()} == {("a", "d"), ("a", "e")}
+    assert len({r["class"] for r in members.filter("id IN ('b', 'c')").collect()}) == 2
+
+
+def test_a_band_of_many_texts_makes_no_pairs(spark, monkeypatch):
+    base = [f"word{i}" for i in range(400)]
+    rows = [(f"n{i:03d}", "en", " ".join([*base[:200], f"own{i}", *base[201:]])) for i in range(120)] + [(f"o{i}", "en", " ".join(f"x{i}y{k}" for k in range(50))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, lang string, text string")
+    members, links = neardup.near_groups(df)
+    assert links.count() < 3 * 120
+    sizes = sorted(r.n for r in neardup.classes(members, links).groupBy("near").agg(F.count("*").alias("n")).collect())
+    assert sizes == [1] * 60 + [120]
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    members, links = neardup.near_duplicates(df)
+    assert links.count() == 120 * 119 // 2
+    members, links = neardup.near_groups(df)
+    assert sorted(r.n for r in neardup.classes(members, links).groupBy("near").agg(F.count("*").alias("n")).collect()) == sizes
 
 
 def test_a_third_of_all_rows_the_same(spark):
