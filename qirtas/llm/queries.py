@@ -92,19 +92,25 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents and items that share a piece with close surroundings, with the longest run of words they share."""
+    """Documents that hold a passage of an item within the error budget: the edits of the closest, and the longest run of words they share."""
     return leakage.leaks(_read(spark, folder, "documents"), _read(spark, folder, "eval_items"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p8_leaks(spark, folder).filter(F.col("n_words") >= leakage.WORDS).select("doc_id", "item_id")
+    # Of the verified passages, those that stand there word for word.
+    return p8_leaks(spark, folder).filter((F.col("n_edits") == 0) & (F.col("n_words") >= leakage.WORDS)).select("doc_id", "item_id")
+
+
+def p8_edited(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage of an item with edits, and none without."""
+    return p8_leaks(spark, folder).filter("n_edits > 0").select("doc_id", "item_id", "n_edits")
 
 
 def p8_items(spark: SparkSession, folder: str) -> DataFrame:
-    """For each test item, in how many documents it stands; 0 for those that did not leak."""
-    items = _read(spark, folder, "eval_items").select("item_id", "suite", "kind").distinct()
+    """For each test item, in how many documents it stands; 0 for those that did not leak, NULL for those too short to hold a passage."""
+    items = _read(spark, folder, "eval_items").groupBy("item_id", "suite", "kind").agg(F.max(leakage.has_passage(F.col("text"))).alias("checked"))
     hits = p8_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("n"))
-    return items.join(hits, "item_id", "left").select("item_id", "suite", "kind", F.coalesce("n", F.lit(0)).alias("n_documents"))
+    return items.join(hits, "item_id", "left").select("item_id", "suite", "kind", F.when(F.col("checked"), F.coalesce("n", F.lit(0))).alias("n_documents"))
 
 
 def _marked(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,7 +127,7 @@ def p9_texts(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redact(_marked(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p2_token_counts, p2_slice_totals, p2_slice_ratios, p3_found, p3_pieces, p4_found, p4_classes, p4_groups, p5_found, p5_values, p6_found, p7_ids, p8_found, p8_leaks, p8_items, p9_found, p9_texts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p2_token_counts, p2_slice_totals, p2_slice_ratios, p3_found, p3_pieces, p4_found, p4_classes, p4_groups, p5_found, p5_values, p6_found, p7_ids, p8_found, p8_leaks, p8_edited, p8_items, p9_found, p9_texts)}
 
 P3_FOUND_SQL = """
 WITH newest AS (
@@ -175,6 +181,7 @@ def _runs(table: str, key: str) -> str:
 
 
 P8_FOUND_SQL = f"SELECT DISTINCT d.doc_id, i.item_id FROM {_runs('documents', 'doc_id')} d JOIN {_runs('eval_items', 'item_id')} i USING (r)"
-P8_ITEMS_SQL = f"SELECT i.item_id, i.suite, i.kind, count(f.doc_id) AS n_documents FROM (SELECT DISTINCT item_id, suite, kind FROM eval_items) i LEFT JOIN ({P8_FOUND_SQL}) f USING (item_id) GROUP BY ALL"
+P8_ITEMS_SQL = f"""SELECT i.item_id, i.suite, i.kind, CASE WHEN i.checked THEN n_documents END AS n_documents FROM (SELECT i.item_id, i.suite, i.kind, i.checked, count(f.doc_id) AS n_documents
+  FROM (SELECT item_id, suite, kind, max(len({_words('text')}) >= 12) AS checked FROM eval_items GROUP BY ALL) i LEFT JOIN ({P8_FOUND_SQL}) f USING (item_id) GROUP BY ALL) i"""
 
 SQL = {"p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p8_found": P8_FOUND_SQL, "p8_items": P8_ITEMS_SQL}

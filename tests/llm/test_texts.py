@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from qirtas.llm import canon, leakage, pairs, pii
 
@@ -159,7 +161,8 @@ def test_whole_long_items_are_counted_whole():
     long = items[0].split()
     docs = [f"before {items[0]} after", items[3], " ".join(items[1].split()[3:]), " ".join([*long[:50], "other", *long[51:]]), "x" + " ".join(long[:30]), "x" + "".join(long[:4]) + " " + " ".join(long[4:60]) + "y", " ".join(long[:70]) + " " + items[0], (items[2] + " ") * 3]
     prepared = leakage.prepare(list(range(4)), items)
-    row, item, n = leakage.hits(pa.array(docs), prepared)
+    row, item, n, edits = leakage.hits(pa.array(docs), prepared)
+    assert not edits.any()
     got = dict(zip(zip(row.tolist(), item.tolist(), strict=True), n.tolist(), strict=True))
     want = {(0, 0): 120, (1, 3): 700, (2, 1): 37, (3, 0): 69, (4, 0): 29, (5, 0): 55, (6, 0): 120, (7, 2): 90}
     assert got == want and all(brute(docs[i], items[j]) == k for (i, j), k in want.items() if j != 3)
@@ -188,6 +191,70 @@ def test_myers_within_the_budget():
             assert (g <= budget) == (distance(x, y) <= budget)
 
 
+def plain_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_distances_of_prefixes():
+    rng = random.Random(4)
+    for longest in (9, 70, 140):
+        patterns = ["".join(rng.choice("abcd") for _ in range(longest)) for _ in range(12)]
+        texts = ["".join(c if rng.random() > 0.02 else rng.choice(["", "x", c + "y"]) for c in p)[: longest + 2].ljust(longest + 2, "z") for p in patterns]
+        codes = lambda rows: np.array([[ord(c) for c in r] for r in rows], np.uint32).T
+        wanted = np.array([[rng.random() < 0.08 for _ in patterns] for _ in range(longest + 1)])
+        got = leakage.distances(codes(patterns), codes(texts), wanted, 2)
+        for k, (p, t) in enumerate(zip(patterns, texts, strict=True)):
+            for length in np.flatnonzero(wanted[:, k]).tolist():
+                true = min(plain_distance(p[:length], t[:m]) for m in range(length + 3) if m <= len(t))
+                assert min(int(got[length, k]), 3) == min(true, 3)
+
+
+def test_edited_passages_are_found_and_others_not(spark):
+    # Planted edits: every passage within the budget comes out, with its edits; Myers alone decides.
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    items = [" ".join(word() for _ in range(rng.randrange(12, 40))) for _ in range(12)]
+    docs, want = [], {}
+    for i in range(100):
+        k = rng.randrange(len(items))
+        words = items[k].split()
+        a = rng.randrange(len(words) - 11)
+        passage = " ".join(words[a : a + 12])
+        n = rng.randrange(0, 7)
+        spots = sorted(rng.sample(range(2, len(passage) - 2), n))
+        for at in reversed(spots):
+            if passage[at] != " ":
+                passage = passage[:at] + rng.choice(["", "z", passage[at] + "z"]) + passage[at + 1 :]
+        docs.append(f"{word()} {word()} {passage} {word()}")
+        bare = "".join(passage.split())
+        true = min(plain_distance("".join(x[s : s + 12]), bare) for x in [words] for s in range(len(x) - 11))
+        want[i, k] = true
+    prepared = leakage.prepare(list(range(len(items))), items)
+    row, item, _, edits = leakage.hits(pa.array(docs), prepared)
+    got = dict(zip(zip(row.tolist(), item.tolist(), strict=True), edits.tolist(), strict=True))
+    close = {p: n for p, n in want.items() if n <= leakage.BUDGET}
+    assert len(close) > 30 and sum(n > 0 for n in close.values()) > 15
+    assert all(p in got and got[p] <= max(n, 1) for p, n in close.items())
+    assert all(n <= leakage.BUDGET + 1 for p, n in want.items() if p in got)  # the passage may end in the words after it
+
+
+def test_one_item_of_short_words_does_not_cut_the_others_shorter():
+    prepared = leakage.prepare([1, 2, 3, 4], ["a b c d e f g h i j k l m", ITEM, "too short", ""])
+    assert len(prepared) == 2 and prepared[0].size <= 4 and prepared[1].size >= 8
+    row, item, n, edits = leakage.hits(pa.array(["x " * 5000 + "a b c d e f g h i j k l " + "y " * 5000, "a b " * 20000, ITEM]), prepared)
+    assert [(r, prepared[0].ids[i], k) for r, i, k in zip(row.tolist(), item.tolist(), n.tolist(), strict=True)] == [(0, 1, 12), (2, 2, 27)] and not edits.any()
+
+
+def test_items_too_short_to_check(spark):
+    rows = spark.createDataFrame([(ITEM,), ("one two - three",), (None,), ("",), (" ".join("ab" * 1 for _ in range(12)),)], "text string")
+    assert [r[0] for r in rows.select(leakage.has_passage(F.col("text"))).collect()] == [True, False, False, False, True]
+
+
 # --- personal information ---
 
 NAMES = ["Tomas Halsemont", "Petra D. Droander", "Renske Vorander-Pellock", "B. Lindetz", "Mirko Tenwick"]
