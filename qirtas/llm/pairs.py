@@ -1,16 +1,17 @@
 """Broken prompt and response pairs (problem 1).
 
 Copies of the prompt are found by compressing the response with the prompt as
-zstandard dictionary; refusals and foreign answers by dictionaries; answers that
-break off by a terminal-context model counted over all pairs: how often a word
-ends a text or goes on, and which longer words stand where it stands.
+zstandard dictionary and the prompt with the response as one: the bytes that
+either side adds to the other decide.  Refusals and foreign answers are found by
+dictionaries; answers that break off by a terminal-context model counted over
+all pairs: how often a word ends a text or goes on, and which longer words stand
+where it stands.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -21,10 +22,10 @@ from ..functions.text import fold_arabic
 from ..operators.lineage import materialize, small_or_not, spread
 from .canon import canonical
 
-#: A response that its prompt compresses to this share of its length is looked at as a copy.
-COPY_RATIO = 0.75
-#: A copy holds at least this share of its prompt's words.
-COPY_SHARE = 0.6
+#: A copy takes at most so many bytes more, compressed with its prompt, than the prompt itself does; below, words decide ties.
+COPY_BYTES = 8
+#: A copy compresses its prompt to this share of what it takes without the copy, or less.
+COPY_RATIO = 0.6
 #: A word that ends fewer than this share of its places, of at least so many, does not end a text.
 END_SHARE, LEAST_PLACES = 0.03, 20
 
@@ -73,64 +74,103 @@ _NUMBER = re.compile(r"\d[\d,.  ]*\d|\d")
 _BAD_GROUP = re.compile(r"(?<![\d,])\d{1,3}(?:,\d{3})*,\d{1,2}$")
 _MARKS = dict.fromkeys([*range(0x64B, 0x660), 0x670, 0x640])
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+# Words of other languages that are too common in English to count.
+_SHARED = frozenset("a in no an on was as is die war".split())
+_OTHERS = {k: v - _SHARED for k, v in _SETS.items() if k != "en"}
+_ANY_OTHER = frozenset().union(*_OTHERS.values())
+_SHOWN = re.compile(r"[^\W_]")
+_LEAD = re.compile(r"^(?:the )?(?:answer|الجواب|response)(?: is| هو)?\s*:?\s*")
+_LATIN, _ARABIC, _LETTER = re.compile(r"[a-zÀ-ɏ]+"), re.compile(r"[ؠ-يٱ-ۓ]+"), re.compile(r"[^\W\d_]+")
+_DOTS, _OPEN_END, _DAY = re.compile(r"(?:\.\.+|…)$"), re.compile(r"\w$"), re.compile(r"([^\W\d_]+) (\d{1,3})$")
+_PIECE = re.compile(r"#|@|[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _EN = re.compile("|".join(DECLINE_EN))
 _AR = re.compile("|".join(DECLINE_AR))
 
 
 def plain(text: str) -> str:
     """The form the checks read: consistent characters, no vowel marks, single blanks."""
-    return " ".join(canonical(text).translate(_MARKS).replace("’", "'").split())
+    text = canonical(text)
+    return " ".join((text if text.isascii() else text.translate(_MARKS).replace("’", "'")).split())
+
+
+def _folded(text: str) -> str:
+    return text if text.isascii() else fold_arabic(text)
 
 
 def declines(text: str) -> bool:
     """Whether a text in its plain form declines to answer."""
     said = text.strip(" .!?؟\"'«»()[]:;…-")
-    bare = re.sub(r"^(?:the )?(?:answer|الجواب|response)(?: is| هو)?\s*:?\s*", "", _QUOTED.sub("", said)).strip(" .!?؟\"'«»:;…-")
-    if " ".join(bare.replace("_", " ").replace("/", " ").split()) in DECLINE_TOKENS:
+    bare = _LEAD.sub("", _QUOTED.sub("", said)).strip(" .!?؟\"'«»:;…-")
+    if len(bare) < 40 and " ".join(bare.replace("_", " ").replace("/", " ").split()) in DECLINE_TOKENS:
         return True
-    return bool(_EN.search(said) or _AR.search(fold_arabic(said)))
+    return bool(_EN.search(said) or (not said.isascii() and _AR.search(fold_arabic(said))))
+
+
+def _compressed(text: bytes, known: bytes) -> int:
+    """Bytes of a text compressed with what is known as its dictionary."""
+    book = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return len(zstandard.ZstdCompressor(level=3, dict_data=book, write_content_size=False, write_checksum=False, write_dict_id=False).compress(text))
+
+
+_FRAME = " ".join(sorted(FRAME)).encode() + b" | "
+
+
+@functools.lru_cache(10_000)
+def _prompt(prompt: str) -> tuple[frozenset[str], bytes, int, int]:
+    """(words, their bytes, compressed with themselves, compressed without) of a prompt in plain form; framing words left out."""
+    words = [w for w in _WORD.findall(prompt) if w not in FRAME]
+    raw = " ".join(words).encode("utf-8")
+    return frozenset(words), raw, _compressed(raw, _FRAME + raw), _compressed(raw, _FRAME)
 
 
 def copies(text: str, prompt: str) -> bool:
-    """Whether a text gives back its prompt and nothing else of content (both in plain form)."""
-    if not prompt or not text:
-        return False
-    raw = text.encode("utf-8")
-    book = zstandard.ZstdCompressionDict(prompt.encode("utf-8"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    if len(zstandard.ZstdCompressor(level=3, dict_data=book, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw)) > COPY_RATIO * len(raw):
+    """Whether a text gives back its prompt and nothing else of content (both in plain form).
+
+    The text adds nothing if, compressed with the prompt as dictionary, it takes no more than the prompt itself; it is
+    a copy if it also compresses the prompt well.  Of the few bytes a text may add, those of words that the prompt
+    lacks are content, unless they compress to less than half (a prompt's word misspelt).
+    """
+    asked, raw, own, alone = _prompt(prompt)
+    words = [w for w in _WORD.findall(text) if w not in FRAME]
+    if not asked or not words:
         return False
-    asked, said = Counter(_WORD.findall(prompt)), Counter(_WORD.findall(text))
-    if any(w not in asked and w not in FRAME for w in said):
+    if alone - own < COPY_BYTES:  # a prompt so short, or of so few different letters, that no dictionary tells
+        return set(words) == asked
+    said = " ".join(words).encode("utf-8")
+    added = _compressed(said, _FRAME + raw) - own
+    if added > COPY_BYTES or _compressed(raw, _FRAME + said) > COPY_RATIO * alone:
         return False
-    return sum((asked & said).values()) >= COPY_SHARE * sum(asked.values())
+    new = sum(len(w.encode("utf-8")) for w in words if w not in asked)
+    return new == 0 or 2 * added < new
 
 
 def foreign(text: str, raw: str, lang: str) -> bool:
     """Whether a text in plain form is written in another language than `lang`; what it quotes in brackets is passed over."""
+    if lang not in ("en", "ar"):
+        return False
     body = _QUOTED.sub(" ", text)
-    body = _SYMBOL.sub(" ", body if re.search(r"[^\W_]", body) else text)
-    latin = len(re.findall(r"[a-zÀ-ɏ]", body))
-    arabic = len(re.findall(r"[ؠ-يٱ-ۓ]", body))
-    letters = len(re.findall(r"[^\W\d_]", body))
+    body = _SYMBOL.sub(" ", body if _SHOWN.search(body) else text)
+    latin, arabic, letters = (sum(map(len, x.findall(body))) for x in (_LATIN, _ARABIC, _LETTER))
     if not letters:
         return False
     if lang == "ar":
-        if arabic * 2 < letters:
-            return True
-        return sum(w in PERSIAN for w in raw.split()) >= 2
-    if lang != "en":
-        return False
+        return arabic * 2 < letters or sum(w in PERSIAN for w in raw.split()) >= 2
     if latin * 2 < letters:
         return True
-    words = Counter(_WORD.findall(body))
-    own = sum(n for w, n in words.items() if w in _SETS["en"])
-    other = max(sum(n for w, n in words.items() if w in s and w not in ("a", "in", "no", "an", "on", "was", "as", "is", "die", "war")) for k, s in _SETS.items() if k != "en")
+    words = _WORD.findall(body)
+    if sum(w in _ANY_OTHER for w in words) < 2:
+        return False
+    own = sum(w in _SETS["en"] for w in words)
+    other = max(sum(w in s for w in words) for s in _OTHERS.values())
     return other >= 2 and other > own
 
 
 def pieces(text: str) -> list[str]:
     """Words of a plain text for the terminal-context model; numbers and symbols are one word each."""
-    return re.findall(r"#|@|[^\W\d_]+(?:['’-][^\W\d_]+)*", fold_arabic(_NUMBER.sub("#", _SYMBOL.sub("@", text))))
+    return _PIECE.findall(_folded(_NUMBER.sub("#", _SYMBOL.sub("@", text))))
+
+
+_plain_prompt = functools.lru_cache(10_000)(plain)
 
 
 @functools.lru_cache(100_000)
@@ -140,26 +180,26 @@ def look(response: str | None, prompt: str | None, lang: str | None, abstained:
     The defects told apart here are empty, refusal, copied_question, other_language, and truncated where the text
     itself shows it; "" means that the pair is no case whatever its end.  The last word is None where the text is closed.
     """
-    if response is None or not re.search(r"[^\W_]", response):
+    if response is None or not _SHOWN.search(response):
         return "empty", None, None, []
     text = plain(response)
-    if not re.search(r"[^\W_]", text):
+    if not _SHOWN.search(text):
         return "empty", None, None, []
     if declines(text):
         return ("" if abstained else "refusal"), None, None, []
-    if prompt is not None and copies(text, plain(prompt)):
+    if prompt is not None and copies(text, _plain_prompt(prompt)):
         return "copied_question", None, None, []
     if foreign(text, response, lang or ""):
         return "other_language", None, None, []
     body = text.rstrip("\"' ")
     words = pieces(body)
-    if re.search(r"(?:\.\.+|…)$", body) and words:
+    if _DOTS.search(body) and words:
         return "truncated", None, None, []
-    if not re.search(r"\w$", body):
+    if not _OPEN_END.search(body):
         return None, None, None, words
     if _BAD_GROUP.search(body):
         return "truncated", None, None, []
-    short = re.search(r"([^\W\d_]+) (\d{1,3})$", fold_arabic(body))
+    short = _DAY.search(_folded(body))
     if short and short[1] in MONTHS:
         return "truncated", None, None, []
     if not words:
@@ -199,22 +239,27 @@ def broken_ends(seen: DataFrame, prompts: DataFrame) -> DataFrame:
 
     Prompts count as texts too, as their ends are sound.  A word breaks off if it hardly ever ends a text though it is common, or if a longer word that begins with it is
     far more common after the same word, or if it is known from no other place and such a longer word is.
+
+    Longer words are met by a hash of their beginnings, and only of as many letters as some ending has.
     """
-    texts = seen.filter("label IS NULL").select("lang", "words", F.lit(True).alias("ends")).unionByName(prompt_words(prompts).withColumn("ends", F.lit(True)))
-    places = texts.select("lang", "ends", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"), "words").select(
-        "lang", "w", F.when(F.col("i") > 0, F.get("words", F.col("i") - 1)).otherwise("").alias("p"), (F.col("ends") & (F.col("i") == F.col("n") - 1)).alias("last")
-    )
+    texts = seen.filter("label IS NULL").select("lang", "words").unionByName(prompt_words(prompts))
+    place = lambda w, i: F.struct(w.alias("w"), F.when(i > 0, F.get("words", i - 1)).otherwise("").alias("p"), (i == F.size("words") - 1).alias("last"))
+    places = texts.select("lang", F.explode(F.transform("words", place)).alias("x")).select("lang", "x.w", "x.p", "x.last")
     two = materialize(places.groupBy("lang", "p", "w").agg(F.count("*").alias("n"), F.count_if(F.col("last")).alias("n_end")))
     one = materialize(two.groupBy("lang", "w").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")))
-
-    def starts(w):
-        return F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda k: F.substring(w, F.lit(1), k))
-
-    longer = lambda df, by: df.filter(F.length("w") > 1).select(*by, F.col("n"), F.explode(starts(F.col("w"))).alias("start")).groupBy(*by, "start").agg(F.max("n").alias("longer"))
-    ends = seen.filter("label IS NULL AND last IS NOT NULL AND last NOT IN ('#', '@')").select("lang", F.col("before").alias("p"), F.col("last").alias("w")).distinct()
-    known = ends.join(one, ["lang", "w"]).join(two.select("lang", "p", "w", F.col("n").alias("n2")), ["lang", "p", "w"])
-    known = known.join(longer(one, ["lang"]).select("lang", F.col("start").alias("w"), F.col("longer").alias("longer1")), ["lang", "w"], "left")
-    known = known.join(longer(two, ["lang", "p"]).select("lang", "p", F.col("start").alias("w"), F.col("longer").alias("longer2")), ["lang", "p", "w"], "left").na.fill(0, ["longer1", "longer2"])
+    ends = materialize(seen.filter("label IS NULL AND last IS NOT NULL AND last NOT IN ('#', '@')").select("lang", F.col("before").alias("p"), F.col("last").alias("w")).distinct())
+    lengths = materialize(ends.groupBy("lang").agg(F.collect_set(F.length("w")).alias("lengths")))
+
+    def longer(counted: DataFrame, by: list[str]) -> DataFrame:
+        """(by, start, longer): how common the most common word is that goes on from the beginning hashed to `start`; of endings alone."""
+        shorter = counted.join(small_or_not(lengths), "lang").select(*by, "w", "n", F.explode(F.filter("lengths", lambda k: k < F.length("w"))).alias("k"))
+        begun = shorter.select(*by, F.xxhash64(F.substring(F.col("w"), F.lit(1), F.col("k"))).alias("start"), "n")
+        wanted = materialize(ends.select(*by, F.xxhash64("w").alias("start")).distinct())
+        return begun.join(small_or_not(wanted), [*by, "start"], "left_semi").groupBy(*by, "start").agg(F.max("n").alias("longer"))
+
+    known = ends.join(one, ["lang", "w"]).join(two.select("lang", "p", "w", F.col("n").alias("n2")), ["lang", "p", "w"]).withColumn("start", F.xxhash64("w"))
+    known = known.join(longer(one, ["lang"]).withColumnRenamed("longer", "longer1"), ["lang", "start"], "left")
+    known = known.join(longer(two, ["lang", "p"]).withColumnRenamed("longer", "longer2"), ["lang", "p", "start"], "left").na.fill(0, ["longer1", "longer2"])
     never = (F.col("n") - F.col("n_end") >= LEAST_PLACES) & (F.col("n_end") < END_SHARE * F.col("n"))
     part = (F.col("longer2") >= 3) & (F.col("longer2") >= 4 * F.col("n2"))
     new = (F.col("n") == F.col("n_end")) & (F.col("longer1") >= 3) & (F.col("longer1") >= 10 * F.col("n_end"))

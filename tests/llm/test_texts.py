@@ -86,6 +86,19 @@ def test_copies_want_the_prompt_and_nothing_else():
     assert not pairs.copies("", "") and not pairs.copies("seed banks", pairs.plain(Q)) and pairs.copies(pairs.plain(Q), pairs.plain(Q))
 
 
+def test_compressed_sizes_decide_copies(monkeypatch):
+    asked = pairs.plain(Q)
+    says = lambda t: pairs.copies(pairs.plain(t), asked)
+    assert says(Q.replace("families", "famlies")) and says(Q.replace(" in 1992", "")) and says("Question: " + Q + " Answer:") and says("How many families did the Committee on seed banks register")
+    assert not says(Q + " Chad.") and not says(Q + " 12") and not says(Q.replace("families", "people")) and not says("families in Belosport") and not says("the answer is") and not says("Belosport in 1992")
+    long = "x" * 200_000
+    assert not says(Q + long) and not pairs.copies(long, asked) and pairs.copies(long, long) and not pairs.copies("the", "is it") and not pairs.copies("", "")
+    monkeypatch.setattr(pairs, "_compressed", lambda text, known: 0)
+    pairs._prompt.cache_clear()
+    assert not says(Q + " Chad.") or says("The Committee on seed banks registered 5 families in Belosport.")
+    pairs._prompt.cache_clear()
+
+
 def test_ends_that_break_off(spark, rows):
     data = [("g", str(i), "en", "Which body?", f"the Committee on {t}", False) for i, t in enumerate(["seed banks", "water metering", "school meals"] * 48)]
     data += [("g", f"x{i}", "en", "Which body?", t, None) for i, t in enumerate(["the Committee on wat", "the Commit", "the Committee on", "the Committee on seed banks.", "the Committee on seed"])]
@@ -95,6 +108,9 @@ def test_ends_that_break_off(spark, rows):
     got = rows(pairs.defects(df, prompts), "record_id", "defect")
     assert got == [("dup", "truncated"), ("x0", "truncated"), ("x1", "truncated"), ("x2", "truncated"), ("x4", "truncated"), (None, "empty")]
     assert pairs.defects(df.limit(0), prompts.limit(0)).count() == 0
+    # a word of any length costs as many rows as there are lengths of endings
+    long = spark.createDataFrame([("g", "long", "en", "Which body?", "the " + "w" * 100_000 + " of it", None)], df.schema)
+    assert rows(pairs.defects(df.unionByName(long), prompts), "record_id", "defect") == got
 
 
 def test_pairs_of_the_two_tables(spark, rows):
