@@ -26,6 +26,8 @@ from .canon import canonical
 COPY_BYTES = 8
 #: A copy compresses its prompt to this share of what it takes without the copy, or less.
 COPY_RATIO = 0.6
+#: A prompt of which compression with itself saves fewer bytes is too short, or of too few different letters, for sizes to tell: its words decide.
+LEAST_SAVED = 8
 #: A word that ends fewer than this share of its places, of at least so many, does not end a text.
 END_SHARE, LEAST_PLACES = 0.03, 20
 
@@ -134,7 +136,7 @@ def copies(text: str, prompt: str) -> bool:
     words = [w for w in _WORD.findall(text) if w not in FRAME]
     if not asked or not words:
         return False
-    if alone - own < COPY_BYTES:  # a prompt so short, or of so few different letters, that no dictionary tells
+    if alone - own < LEAST_SAVED:
         return set(words) == asked
     said = " ".join(words).encode("utf-8")
     added = _compressed(said, _FRAME + raw) - own

@@ -93,10 +93,10 @@ def test_compressed_sizes_decide_copies(monkeypatch):
     assert not says(Q + " Chad.") and not says(Q + " 12") and not says(Q.replace("families", "people")) and not says("families in Belosport") and not says("the answer is") and not says("Belosport in 1992")
     long = "x" * 200_000
     assert not says(Q + long) and not pairs.copies(long, asked) and pairs.copies(long, long) and not pairs.copies("the", "is it") and not pairs.copies("", "")
-    monkeypatch.setattr(pairs, "_compressed", lambda text, known: 0)
-    pairs._prompt.cache_clear()
-    assert not says(Q + " Chad.") or says("The Committee on seed banks registered 5 families in Belosport.")
-    pairs._prompt.cache_clear()
+    # without the sizes, any words of the prompt pass for a copy of it
+    monkeypatch.setattr(pairs, "COPY_BYTES", 1 << 30)
+    monkeypatch.setattr(pairs, "COPY_RATIO", 1e9)
+    assert says("families in Belosport") and says("Belosport in 1992")
 
 
 def test_ends_that_break_off(spark, rows):
