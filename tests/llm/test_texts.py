@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from qirtas.llm import canon, leakage, pairs, pii
 
+from . import hand_labelled
+
 CLEAN = ["Plain text, 12 «Мир» (Дружба) Ελπίς", "كِتَابـــ ١٢٣", "line\nbreak\r\n\tEnd…", "Édralula Sañor", "", "сок и чай", "½ №"]
 ODD = ["ｆｕｌｌ", "ofﬁce", "ﻷن", "ﺎﻟﻤ", "é", "أ", "zero​width", "soft­hyphen", "no break", "thin space", "‏", "﻿", "Weхarаsk", "Ѕ/56/914", "Μarch", "ہالفاسک", "٢۸", "Ⅳ", " ", "x⁠y", "К"]
 
@@ -276,48 +278,78 @@ def test_items_too_short_to_check(spark):
 NAMES = ["Tomas Halsemont", "Petra D. Droander", "Renske Vorander-Pellock", "B. Lindetz", "Mirko Tenwick"]
 
 
-def sample(n=400):
+def marked_sample(n=400):
+    """Texts with their pieces (start, end, type), known from how they are made."""
     rng = random.Random(3)
     out = []
     for _ in range(n):
         name, digits = rng.choice(NAMES), "".join(rng.choice("0123456789") for _ in range(7))
-        out.append(rng.choice([
-            f"Contact: {name}, tel. 650.555.01{digits[:2]}\nThe panel met in 2009.", f"The statement was signed by {name}, holder of passport TR {digits}.", f"National identity card no. {digits[:2]}-{digits}-{digits[0]} was issued to {name} in Halvport.",
-            f"Contact: {name}, tel. 650.555.01{digits[:2]}\nMinutes taken by {name}; copies from none.", f"The contract bears the number {digits[:2]}-{digits}-{digits[0]} and the project code KX{digits}.", f"Minutes taken by {name}; copies from {name.split()[-1].lower()}@quarrynet.example.", "The Pellwick Prize was awarded to the Panel on roads.",
-            f"The witness gave an address at {digits[:2]} Quarryfield Lane and the telephone number +999 {digits[:2]} 555 01{digits[:2]}.", "Quarrygate Road will be repaired over 40 kilometres.", f"Some {digits[:3]},{digits[3:6]} families were registered.", f"The stock holds {digits[:3]} lamps @ 80 dollars each.",
-        ]))
+        card, tel = f"{digits[:2]}-{digits}-{digits[0]}", f"650.555.01{digits[:2]}"
+        parts = rng.choice([
+            ["Contact: ", (name, 0), ", tel. ", (tel, 2), "\nThe panel met in 2009."], ["The statement was signed by ", (name, 0), ", holder of passport ", (f"TR {digits}", 3), "."], ["National identity card no. ", (card, 3), " was issued to ", (name, 0), " in Halvport."],
+            ["Contact: ", (name, 0), ", tel. ", (tel, 2), "\nMinutes taken by ", (name, 0), "; copies from none."], [f"The contract bears the number {card} and the project code KX{digits}."], ["Minutes taken by ", (name, 0), "; copies from ", (f"{name.split()[-1].lower()}@quarrynet.example", 1), "."], ["The Pellwick Prize was awarded to the Panel on roads."],
+            ["The witness gave an address at ", (f"{digits[:2]} Quarryfield Lane", 4), " and the telephone number ", (f"+999 {digits[:2]} 555 01{digits[:2]}", 2), "."], ["Quarrygate Road will be repaired over 40 kilometres."], [f"Some {digits[:3]},{digits[3:6]} families were registered."], [f"The stock holds {digits[:3]} lamps @ 80 dollars each."],
+        ])
+        text, pieces = "", []
+        for x in parts:
+            if isinstance(x, tuple):
+                pieces.append((len(text), len(text) + len(x[0]), x[1]))
+                x = x[0]
+            text += x
+        out.append((text, pieces))
     return out
 
 
+def sample(n=400):
+    return [t for t, _ in marked_sample(n)]
+
+
 @pytest.fixture(scope="module")
 def model():
     return pii.train(sample())
 
 
+def found_in(model, texts):
+    """(row, start, end, type) of the pieces a model finds."""
+    row, start, end, kind = pii.Finder(model).find(pa.array(texts))
+    return {(r, x, y, pii.settled_type(texts[r][x:y], k)) for r, s, e, k in zip(row.tolist(), start.tolist(), end.tolist(), kind.tolist(), strict=True) for x, y in pii.bounds(texts[r], s, e, k, model.names)}
+
+
 def test_held_out_accuracy(model):
-    held = sample(900)[400:]
-    finder = pii.Finder(model)
-    row, start, end, kind = finder.find(pa.array(held))
-    got = {(r, x, y, k) for r, s, e, k in zip(row.tolist(), start.tolist(), end.tolist(), kind.tolist(), strict=True) for x, y in pii.bounds(held[r], s, e, k)}
-    want = {(i, a, b, k) for i, t in enumerate(held) for a, b, k in pii.label(t)}
+    held = marked_sample(900)[400:]
+    got = found_in(model, [t for t, _ in held])
+    want = {(i, *p) for i, (_, pieces) in enumerate(held) for p in pieces}
     hit = len(got & want)
     assert hit / len(want) > 0.97 and hit / len(got) > 0.97
 
 
+def test_texts_labelled_by_hand(model):
+    # Prose of other kinds than what the model was trained on.
+    texts = [t for t, _ in hand_labelled.TEXTS]
+    got = {(i, pii.TYPES[k], texts[i][a:b]) for i, a, b, k in found_in(model, texts)}
+    want = {(i, k, p) for i, (_, pieces) in enumerate(hand_labelled.TEXTS) for k, p in pieces}
+    hit = len(got & want)
+    assert hit / len(want) > 0.8 and hit / len(got) > 0.8
+    first = {(k, p) for i, k, p in got if i < 3}
+    assert first == {(k, p) for i, k, p in want if i < 3}
+
+
 def test_repeated_names_carry_over(model):
-    # An unknown name is found in plain surroundings only where the text also has it in telling ones.
+    # With the weight the model has learnt, a name no dictionary has is found in plain surroundings only where the text also has it in telling ones.
     plain = "In 2009 the note of Zorvelda Quimbrasch was read at length by the members of the panel in the old town hall."
     telling = "Contact: Zorvelda Quimbrasch, tel. 650.555.0123\n"
     assert model.skip > 0
-    skip = pii.Finder(pii.Model(model.unary, model.step, 9.0))
-    none = pii.Finder(pii.Model(model.unary, model.step, 0.0))
-    count = lambda finder, text: sum(finder.find(pa.array([text]))[3] == 0)
-    assert count(skip, telling + plain) == 2 and count(none, telling + plain) == 1 and count(skip, plain) == 0
+    without = pii.Model(model.unary, model.step, 0.0, model.names)
+    count = lambda m, text: sum(k == 0 for *_, k in found_in(m, [text]))
+    assert count(model, telling + plain) == 2 and count(without, telling + plain) == 1 and count(model, plain) == 0
+    texts = [t for t, _ in hand_labelled.TEXTS]
+    assert found_in(without, texts) != found_in(model, texts)
 
 
 def test_rims_of_pieces():
     cut = lambda t, k: [t[a:b] for a, b in pii.bounds(t, 0, len(t), k)]
     assert cut("VORISSEN, Oluwen, Hisao Zeph and", 0) == ["VORISSEN, Oluwen", "Hisao Zeph"] and cut("Prize", 0) == []
+    assert cut("Yesterday Ahmed Khalil met Susan Porter", 0) == ["Ahmed Khalil", "Susan Porter"] and cut("Anouk M. Voroway\nSome", 0) == ["Anouk M. Voroway"] and pii.settled_type("078-05-1120", 2) == 3
     assert cut("+999 21 555 0154.", 2) == ["+999 21 555 0154"] and cut("102 in 2010", 2) == [] and cut("TR 5005995.", 3) == ["TR 5005995"]
     assert cut("362 Willowbank Ave.", 4) == ["362 Willowbank Ave."] and cut("7 Mast Lane.", 4) == ["7 Mast Lane"] and cut("Quarrygate Road", 4) == []
 
@@ -377,8 +409,21 @@ def test_the_model_learns_other_forms():
         d = "".join(rng.choice("123456789") for _ in range(12))
         return rng.choice([f"For details call +44 {d[:2]} {d[2:6]} {d[6:10]} before noon.", f"Contact: Tomas Halsemont, tel. +961 {d[0]} {d[1:7]}.", f"قال السيد {rng.choice(given)} {rng.choice(family)} إن الجلسة {d[:3]} انتهت.", f"The stock holds {d[:3]},{d[3:6]} lamps."])
 
-    finder = pii.Finder(pii.train(sample() + [one() for _ in range(400)]))
     held = ["For details call +44 20 7946 0958 before noon.", "Contact: Tomas Halsemont, tel. +961 1 234567.", "قال السيد وليد نجار إن الجلسة 120 انتهت."]
-    row, start, end, kind = finder.find(pa.array(held))
-    got = [held[r][x:y] for r, s, e, k in zip(row.tolist(), start.tolist(), end.tolist(), kind.tolist(), strict=True) for x, y in pii.bounds(held[r], s, e, k)]
+    got = [held[r][x:y] for r, x, y, _ in sorted(found_in(pii.train(sample() + [one() for _ in range(400)]), held))]
     assert got == ["+44 20 7946 0958", "Tomas Halsemont", "+961 1 234567", "وليد نجار"]
+
+
+def test_names_by_dictionary():
+    names = pii.Names(pii.GIVEN | {"petra", "dariel", "ليلى"}, frozenset({"zephetz", "الحداد"}), frozenset({"prize", "committee"}))
+    cut = lambda t: [t[a:b] for a, b, k in pii.label(t, names) if k == 0]
+    assert cut("the note of Petra Zephetz, Dariel M. Osteway and T. Zephetz") == ["Petra Zephetz", "Dariel M. Osteway", "T. Zephetz"]
+    assert cut("the file of ZEPHETZ, Petra is closed; the Petra Prize; Petra left") == ["ZEPHETZ, Petra"] and cut("M. Zephetz, Petra Osteway") == ["M. Zephetz", "Petra Osteway"]
+    assert cut("ترسل إلى ليلى السورفلي على العنوان") == ["ليلى السورفلي"] and cut("") == [] and cut("x" * 100_000) == []
+
+
+def test_learning_names():
+    texts = ["Contact: Zora Tellwick, tel. 650-555-0199."] * 3 + ["Zora left. zora@tell.example wrote to the committee."] * 4 + [""]
+    names = pii.learn_names(texts, [pii.cued(t) for t in texts])
+    assert "zora" in names.given and "tellwick" in names.family and "committee" in names.small and "zora" not in names.small
+    assert pii.learn_names([], []).given == pii.GIVEN | pii.GIVEN_AR
