@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, symbols
 from ..functions import text as T
 from .lineage import small_or_not
-from .ordered import neighbour
+from .ordered import highest_before, neighbour
 
 # Default thresholds of the selection and of chunks.
 RULES = {"min_one_to_one_links": 30, "max_one_to_one_links": 400, "min_one_to_one_ratio": 0.85}
@@ -99,11 +99,11 @@ def paragraph_ends(sentences: DataFrame) -> DataFrame:
 def alignment_errors(beads: DataFrame, sentences: DataFrame) -> DataFrame:
     """(doc_id, lang, error, n) of links (doc_id, bead_no, en, ar) that name missing sentences or go backwards.
 
-    A document with an error is dropped as a whole by its caller.
+    A sentence goes backwards if any before it stood at its place or further on.  A document with an error is dropped as a whole by its caller.
     """
     sides = [beads.select("doc_id", "bead_no", F.lit(x).alias("lang"), F.posexplode(x).alias("at", "sid")) for x in T.LANGS]
     named = sides[0].unionByName(sides[1]).join(sentences.select("doc_id", "lang", "sid", "pos"), ["doc_id", "lang", "sid"], "left")
-    before = neighbour(named, ["doc_id", "lang"], "bead_no", "pos", "before", ahead=False, ties=("at",))
+    before = highest_before(named, ["doc_id", "lang"], "bead_no", "pos", "before", ties=("at",))
     told = before.select("doc_id", "lang", F.when(F.col("pos").isNull(), "missing").when(F.col("pos") <= F.col("before"), "not_monotonic").alias("error"))
     return told.filter("error IS NOT NULL").groupBy("doc_id", "lang", "error").agg(F.count("*").alias("n"))
 

@@ -40,23 +40,23 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int, block_numbers:
         rows = part.toArrow()  # about per_block rows
         if not rows.num_rows:
             continue
-        shared = spark.sparkContext.broadcast((rows["qid"].to_pylist(), np.array(rows["vector"].to_pylist(), np.float64)))
+        shared = spark.sparkContext.broadcast((rows["qid"].combine_chunks(), np.array(rows["vector"].to_pylist(), np.float64)))
 
         def run(batches, shared=shared):
-            qids, matrix = shared.value
-            names = np.array(qids, object)
+            names, matrix = shared.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                own = np.array(batch.column(1).to_pylist(), np.float64)
-                score = own @ matrix.T
-                docs = batch.column(0)
-                order = np.argsort(np.array(docs.to_pylist(), object), kind="stable")
-                best = order[np.argsort(-np.round(score[order], 9), axis=0, kind="stable")[: min(k, len(own))]]
-                q = np.broadcast_to(np.arange(len(qids)), best.shape)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[q.ravel()].tolist()), docs.take(pa.array(best.ravel())), pa.array(score[best.ravel(), q.ravel()])], ["qid", "doc", "score"]
-                )
+                vectors, docs = batch.column(1), batch.column(0)
+                numbers = vectors.flatten()
+                if len(numbers) != len(vectors) * matrix.shape[1] or numbers.null_count or (vectors.value_lengths().to_numpy() != matrix.shape[1]).any():
+                    raise ValueError("a vector is of another length than the queries', or lacks a number")
+                score = numbers.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1) @ matrix.T
+                rounded = np.round(score, 9)
+                last = np.partition(rounded, -min(k, len(vectors)), axis=0)[-min(k, len(vectors))]
+                # with ties at the last place, all of them: the smaller doc is chosen among all batches
+                row, q = np.nonzero(rounded >= last)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), docs.take(pa.array(row)), pa.array(score[row, q])], ["qid", "doc", "score"])
 
         found = vectors.filter("vector IS NOT NULL").select("doc", "vector").mapInArrow(run, kinds)
         out = found if out is None else out.unionByName(found)

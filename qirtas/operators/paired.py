@@ -7,7 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 RESAMPLES, ALPHA = 10_000, 0.05
+#: So many draws are held at once.
+DRAWS = 1_000_000
 
 
 def mcnemar_p(only_a: Column, only_b: Column) -> Column:
@@ -36,8 +40,9 @@ def mcnemar(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b") -> Data
 def bootstrap(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", resamples: int = RESAMPLES, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
     """(by, n, mean, low, high): mean difference and its percentile interval over resampled questions.
 
-    Draws come from numpy's PCG64 with `seed`, over the pairs in order of their `qid`.  A group of two columns of
-    numbers is gathered in one task: a configuration's questions, not its documents.  A NULL in a pair fails.
+    Draws come from numpy's PCG64 with `seed`, over the pairs in order of their `qid`.  One stream of draws runs over a
+    whole group, so a group's two columns of numbers are gathered in one task: a configuration's questions, not its
+    documents.  Draws are made `DRAWS` at a time.  For any number of pairs there is `hash_bootstrap`.  A NULL in a pair fails.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -46,7 +51,8 @@ def bootstrap(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", resam
         if np.isnan(d).any():
             raise ValueError("a pair lacks one of its scores")
         rng = np.random.default_rng(seed)
-        means = np.concatenate([d[rng.integers(0, len(d), (min(256, resamples - i), len(d)))].mean(axis=1) for i in range(0, resamples, 256)])
+        step = max(1, DRAWS // len(d))
+        means = np.concatenate([d[rng.integers(0, len(d), (min(step, resamples - i), len(d)))].mean(axis=1) for i in range(0, resamples, step)])
         low, high = np.quantile(means, [alpha / 2, 1 - alpha / 2])
         return pd.DataFrame([[*(frame[c].iloc[0] for c in by), len(d), d.mean(), low, high]], columns=[*by, "n", "mean", "low", "high"])
 
@@ -59,13 +65,11 @@ def hash_bootstrap(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b",
 
     Draw i of resample r is row number sha256(seed|r|i) modulo n.  Rows are numbered within `by` in order of qid.
     """
-    from pyspark.sql import Window as W
-
-    numbered = pairs.select(*by, (F.col(a) - F.col(b)).alias("d"), (F.row_number().over(W.partitionBy(*by).orderBy("qid")) - 1).alias("i"))
-    size = numbered.groupBy(*by).agg(F.count("*").alias("n"), F.avg("d").alias("mean"))
-    draws = numbered.join(size, by).select(*by, "n", "i", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r"))
+    rows = numbered(pairs.select(*by, "qid", (F.col(a) - F.col(b)).alias("d")), by, "qid", "i").select(*by, "d", "i")
+    size = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("d").alias("mean"))
+    draws = rows.join(size, by).select(*by, "n", "i", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r"))
     place = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("r"), F.col("i")), 256), 1, 8), 16, 10).cast("bigint"), F.col("n"))
-    drawn = draws.select(*by, "r", place.alias("i")).join(numbered.select(*by, "i", "d"), [*by, "i"])
+    drawn = draws.select(*by, "r", place.alias("i")).join(rows.select(*by, "i", "d"), [*by, "i"])
     means = drawn.groupBy(*by, "r").agg(F.avg("d").alias("m"))
     ends = means.groupBy(*by).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
     return size.join(ends, by).select(*by, "n", "mean", "low", "high")

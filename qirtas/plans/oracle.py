@@ -167,7 +167,7 @@ ENDS = f"SELECT doc_id, lang, sid FROM (SELECT doc_id, lang, sid, pid, lead(pid)
 BEADS = "(SELECT DISTINCT doc_id, bead_no, en, ar, coalesce(paragraph_end, false) AS pe FROM beads)"
 NAMED = f"(SELECT doc_id, bead_no, 'en' AS lang, unnest(range(len(en))) AS at, unnest(en) AS sid FROM {BEADS} UNION ALL SELECT doc_id, bead_no, 'ar', unnest(range(len(ar))), unnest(ar) FROM {BEADS})"
 ALIGN = f"""SELECT doc_id, lang, error, count(*) AS n FROM (SELECT doc_id, lang, CASE WHEN pos IS NULL THEN 'missing' WHEN pos <= before THEN 'not_monotonic' END AS error FROM
-  (SELECT x.doc_id, x.lang, s.pos, lag(s.pos) OVER (PARTITION BY x.doc_id, x.lang ORDER BY x.bead_no, x.at) AS before FROM {NAMED} x LEFT JOIN {NEWEST} s USING (doc_id, lang, sid))) WHERE error IS NOT NULL GROUP BY ALL"""
+  (SELECT x.doc_id, x.lang, s.pos, max(s.pos) OVER (PARTITION BY x.doc_id, x.lang ORDER BY x.bead_no, x.at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {NAMED} x LEFT JOIN {NEWEST} s USING (doc_id, lang, sid))) WHERE error IS NOT NULL GROUP BY ALL"""
 
 PACKED = f"""
 RECURSIVE w AS (SELECT doc_id, bead_no, lang, sum(len(regexp_extract_all(coalesce(text, ''), '{T.WORD}'))) AS n FROM {NAMED} JOIN {NEWEST} USING (doc_id, lang, sid) GROUP BY ALL),

@@ -168,8 +168,12 @@ def dense_label_eval(spark, folder):
     asked = _vector_queries(spark, folder)
     run = dense.exact_search(_vectors(spark, folder), asked, 21).filter("doc <> qid").select("qid", "doc", "score")
     run = retrieval.top_k(run, 20)
-    groups = asked.select("qid", "label").join(_vectors(spark, folder).select("doc", "label"), "label").filter("doc <> qid").select("qid", F.lit(0).alias("grp"), "doc")
-    return metrics.mean_metrics(metrics.question_metrics(run, groups).withColumn("config", F.lit("dense")), ["config"])
+    run = materialize(run)
+    # One group needs only its first hit: the run's rows are looked up, never the members of a label paired with its queries.
+    label = _vectors(spark, folder).select("doc", "label")
+    hits = run.select("qid", "doc").join(label, "doc").join(asked.select("qid", F.col("label").alias("wanted")), "qid").filter("label = wanted").select("qid", F.lit(0).alias("grp"), "doc")
+    grouped = asked.join(label.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1"), "label", "left_semi").select("qid", F.lit(0).alias("grp"), F.lit(None).cast("bigint").alias("doc"))
+    return metrics.mean_metrics(metrics.question_metrics(run, hits.unionByName(grouped)).withColumn("config", F.lit("dense")), ["config"])
 
 
 def dense_cross_pool(spark, folder):
