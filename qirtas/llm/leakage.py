@@ -85,6 +85,7 @@ class Items:
     word_starts: np.ndarray
     size: int
     side: int
+    beyond: int
     reach: int
     hashes: np.ndarray
     places: np.ndarray
@@ -123,7 +124,7 @@ def prepare(ids: list[int], texts: list[str], words: int = WORDS, budget: int =
         seen[(hashes & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
         narrow, wide = min(w for _, w, _ in members), max(w for _, _, w in members)
         side = min(60, max(1, (narrow - size + 1) // 2))
-        out.append(Items(np.array(ids, np.int64), value, rows, starts, size, side, wide + 8, hashes[order], places[order], seen))
+        out.append(Items(np.array(ids, np.int64), value, rows, starts, size, side, narrow - size, wide + 8, hashes[order], places[order], seen))
     return out
 
 
@@ -298,11 +299,33 @@ def _passages(value, rows, edge, at, row, item, place, items, words, budget):
     edits = np.where(n >= words, 0, budget + 1)
     short = np.flatnonzero(n < words)
     for run, anchor in ((short, first[short]), (more := short[first[short] < last[short]], last[more])):
+        likely = _split(value, at[anchor], place[anchor], low[anchor], high[anchor], item_low[anchor], item_high[anchor], items, budget)
+        run, anchor = run[likely], anchor[likely]
         edits[run] = np.minimum(edits[run], _edits(value, at[anchor], place[anchor], low[anchor], high[anchor], item_low[anchor], item_high[anchor], items, ends, words, budget))
     kept = edits <= budget
     return row[first][kept], item[first][kept], n[kept], edits[kept]
 
 
+def _split(value, at, place, low, high, item_low, item_high, items, budget):
+    """Which hits a passage can hold: it goes beyond the piece by `beyond` at least, so by some quarters of that on the left and the rest, less one, on the right."""
+    quarter = items.beyond // 4
+    out = np.zeros(len(at), bool)
+    step = max(1, BLOCK_CELLS // max(1, items.beyond))
+    for a in range(0, len(at), step):
+        part = slice(a, a + step)
+        where, here, lo, hi, ilo, ihi = at[part], place[part], low[part], high[part], item_low[part], item_high[part]
+        left_lengths, right_lengths = [k * quarter for k in range(4)], [max(0, items.beyond - (k + 1) * quarter) for k in range(4)]
+        dist = []
+        for lengths, begin, text_begin, sign in ((left_lengths, here - 1, where - 1, -1), (right_lengths, here + items.size, where + items.size, 1)):
+            longest = max(lengths)
+            wanted = np.zeros((longest + 1, len(where)), bool)
+            wanted[lengths] = True
+            steps, longer = sign * np.arange(longest), sign * np.arange(longest + budget)
+            dist.append(distances(_window(items.value, begin, ilo, ihi, steps, 0), _window(value, text_begin, lo, hi, longer, 1), wanted, budget)[lengths])
+        out[part] = (dist[0] + dist[1] <= budget).any(axis=0)
+    return out
+
+
 def _edits(value, at, place, low, high, item_low, item_high, items, ends, words, budget):
     """Edits of the closest passage of `words` words that holds the piece at `place`; at least 1, as none is an exact run."""
     out = np.full(len(at), budget + 1, np.int64)
