@@ -63,6 +63,14 @@ def drop_table(*tables: DataFrame) -> None:
                 at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def measured(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes of the values as text, with 16 for each row) of a written table."""
+    size = F.lit(16)
+    for c in df.columns:
+        size = size + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0))
+    return tuple(df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first())
+
+
 def small_or_not(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """`df` with a broadcast hint if it is proven to have at most `most` rows and `most_bytes` bytes, else without (a shuffled join follows).
 
@@ -70,13 +78,23 @@ def small_or_not(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BR
     """
     if not _written_files(df):
         df = materialize(df)
-    size = F.lit(16)
-    for c in df.columns:
-        size = size + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0))
-    rows, held = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    rows, held = measured(df)
     return F.broadcast(df) if rows <= most and held <= most_bytes else df
 
 
+def looked_up(df: DataFrame, table: DataFrame, small: bool, on: tuple[str, str], salts: int = 16) -> DataFrame:
+    """`df` left joined with `table` on df's column on[0] = table's column on[1], which table has once.
+
+    A small table is broadcast.  Otherwise the rows of each key are dealt to `salts` tasks by their contents, and the
+    table is repeated for each, so that a key of very many rows is not one task's.
+    """
+    if small:
+        return df.join(F.broadcast(table), F.col(on[0]) == F.col(on[1]), "left")
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int")
+    repeated = table.withColumn("_salt_2", F.explode(F.array(*map(F.lit, range(salts)))))
+    return df.withColumn("_salt_1", salt).join(repeated, (F.col(on[0]) == F.col(on[1])) & (F.col("_salt_1") == F.col("_salt_2")), "left").drop("_salt_1", "_salt_2")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Enough partitions for all cores where tables come in fewer splits than that; else unchanged.
 
