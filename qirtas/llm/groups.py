@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lineage import drop_table, materialize
+from ..operators.lineage import BROADCAST_BYTES, BROADCAST_ROWS, drop_table, looked_up, materialize, measured
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Each round, a node takes the smallest label among its own and its neighbours' (partial minima before the shuffle,
     so a node of a million edges costs one row per map task), then the label of its label.  Edges are cut down
-    to those between different labels, so finished groups drop out.
+    to those between different labels, so finished groups drop out.  Labels that move are broadcast where they are
+    proven few; else a label's nodes and edges, of a giant group too, are dealt to many tasks.
     """
     edges = edges.select("a", "b")
     both = edges.filter("a <> b")
@@ -31,24 +32,26 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         least = open_edges.groupBy("a").agg(F.min("b").alias("b")).filter("b < a")
         hops = materialize(least.select(F.col("a").alias("label"), F.col("b").alias("to")))
-        if hops.isEmpty():
+        n, size = measured(hops)
+        if not n:
+            drop_table(hops, open_edges)
             return labels
+        few = n <= BROADCAST_ROWS and size <= BROADCAST_BYTES  # jumping changes neither the rows nor, by much, their size
         # pointer jumping among the labels that move: each step halves the longest chain
         while True:
-            further = hops.alias("h").join(hops.alias("n"), F.col("h.to") == F.col("n.label"), "left")
-            jumped = materialize(further.select(F.col("h.label").alias("label"), F.coalesce("n.to", "h.to").alias("to"), F.col("n.to").isNotNull().alias("moved")))
+            further = looked_up(hops, hops.select(F.col("label").alias("x"), F.col("to").alias("y")), few, ("to", "x"))
+            jumped = materialize(further.select("label", F.coalesce("y", "to").alias("to"), F.col("y").isNotNull().alias("moved")))
             moved = not jumped.filter("moved").isEmpty()
             drop_table(hops)
             hops = jumped.select("label", "to")
             if not moved:
                 break
-        new_labels = materialize(labels.join(hops, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
         ends = hops.select(F.col("label").alias("x"), F.col("to").alias("y"))
-        moved_edges = open_edges.join(ends, F.col("a") == F.col("x"), "left").select(F.coalesce("y", "a").alias("a"), "b")
-        moved_edges = moved_edges.join(ends, F.col("b") == F.col("x"), "left").select("a", F.coalesce("y", "b").alias("b"))
+        new_labels = materialize(looked_up(labels, ends, few, ("label", "x")).select("node", F.coalesce("y", "label").alias("label")))
+        moved_edges = looked_up(open_edges, ends, few, ("a", "x")).select(F.coalesce("y", "a").alias("a"), "b")
+        moved_edges = looked_up(moved_edges, ends, few, ("b", "x")).select("a", F.coalesce("y", "b").alias("b"))
         new_edges = materialize(moved_edges.filter("a <> b").distinct())
-        for old in (labels, open_edges, hops):
-            drop_table(old)
+        drop_table(labels, open_edges, hops)
         labels, open_edges = new_labels, new_edges
 
 

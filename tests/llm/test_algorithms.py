@@ -155,6 +155,13 @@ def test_long_chains_and_hubs(spark):
     assert groups.connected(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
+def test_groups_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(groups, "BROADCAST_ROWS", 0)
+    edges = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(30)] + [("h", f"x{i:02d}") for i in range(40)]
+    got = {r.node: r.label for r in groups.connected(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {**{f"c{i:02d}": "c00" for i in range(31)}, "h": "h", **{f"x{i:02d}": "h" for i in range(40)}}
+
+
 def test_links_of_questions(spark, rows):
     data = [("q1", ["a", "b"], [["c", None, "a"], None]), ("q2", ["d"], None), ("q3", None, [["e", "f"], []]), ("q4", [None, "g"], [["b"], ["g", "g"], ["z"]]), ("q1", ["a", "b"], [["c", None, "a"], None]), ("q5", None, None)]
     df = spark.createDataFrame(data, "qid string, gold_chunks array<string>, relevant_groups array<array<string>>")
