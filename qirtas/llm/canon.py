@@ -33,8 +33,10 @@ IGNORABLE = (
 LOOKALIKES_FROM = "АВСЕНІЈКМОРЅТУХԚԜасеһіјорԛѕԝухΑΒΕΖΗΙΚΜΝΟΡΤΥΧοινυՕօՍսոհ"
 LOOKALIKES_TO = "ABCEHIJKMOPSTYXQWacehijopqswyxABEZHIKMNOPTYXoivuOoUunh"
 # Further letters that resemble Latin ones, in words that also hold Latin letters; genuine words may consist of them.
-MIXED_FROM = "αγκρχϳϜϺԁѵӏӀүһгѡьЬԌёїӑӓѐӧӱգզռցքյՏԼ"
-MIXED_TO = "aykpxjFMdvlIyhrwbbGëïăäèöÿqqngfjSL"
+MIXED_FROM = "αγκρχϳϜϺԁѵӏӀүһгѡьЬԌёїӑӓѐӧӱգզռցքյՏԼᎪᎬᎻᎷᎫᏀᏃᏚᏙᏞᏟᏢᏦᎢᎳᏴᎠᎡᎥᏏⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲥⲣⲓꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+MIXED_TO = "aykpxjFMdvlIyhrwbbGëïăäèöÿqqngfjSLAEHMJGZSVLCPKTWBDRibABEHIKMNOPCTYXocpiBPDTGKJCZFMNLSRVHWXYAEIOU"
+# Latin letters of phonetic alphabets that resemble plain ones, in words whose other letters are plain.
+PHONETIC_FROM, PHONETIC_TO = "ɑɡɩʋ", "agiv"
 # Persian and Urdu letters and digits, and the Arabic ones they look like.
 PERSIAN_FROM = "یکہھەۃ۰۱۲۳۴۵۶۷۸۹"
 PERSIAN_TO = "يكهههة٠١٢٣٤٥٦٧٨٩"
@@ -55,7 +57,9 @@ _TO_ARABIC = str.maketrans(PERSIAN_FROM, PERSIAN_TO)
 _HIDDEN = dict.fromkeys(IGNORABLE)
 _SPACES = str.maketrans({chr(i): " " for i in range(0x3001) if unicodedata.category(chr(i)) == "Zs"})
 _RUN = re.compile(r"[^\W\d_]+")
-_OTHER_SCRIPT = re.compile("[\u0370-\u058f\u1f00-\u1fff\u2c60-\u2dff\ua640-\ua69f]")
+_OTHER_SCRIPT = re.compile(f"[\u0370-\u058f\u13a0-\u13ff\u1f00-\u1fff\u2c60-\u2dff\ua4d0-\ua4ff\ua640-\ua69f\uab70-\uabbf{PHONETIC_FROM}]")
+_PHONETIC = str.maketrans(PHONETIC_FROM, PHONETIC_TO)
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "COPTIC", "LISU")
 _PERSIAN = re.compile(f"[{PERSIAN_FROM}]")
 _UNSHOWN = re.compile(f"[{chr(PLANE_14[0])}-{chr(PLANE_14[-1])}" + "".join(map(re.escape, map(chr, (*(i for i in IGNORABLE if i not in PLANE_14), *map(ord, (c for c in map(chr, range(0x3001)) if unicodedata.category(c) == "Zs" and c != " ")))))) + "]")
 
@@ -82,7 +86,7 @@ def kinds() -> np.ndarray:
             out[i] = STANDS_IN
         elif unicodedata.category(ch) == "Zs" and ch != " ":
             out[i] = STANDS_IN
-        elif ch in composing or "CYRILLIC" in (name := unicodedata.name(ch, "")) or "GREEK" in name or "ARMENIAN" in name:
+        elif ch in composing or ch in PHONETIC_FROM or any(x in unicodedata.name(ch, "") for x in SCRIPTS[1:]):
             out[i] = LOOK_CLOSER
         elif unicodedata.category(ch) == "Nd" and not (ch.isascii() or 0x660 <= i < 0x66A):
             out[i] = STANDS_IN
@@ -102,21 +106,25 @@ def kinds_of(points: np.ndarray) -> np.ndarray:
 
 def script(ch: str) -> str:
     name = unicodedata.name(ch, "").split(" ", 1)[0]
-    return name if name in ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN") else ""
+    return name if name in SCRIPTS else ""
 
 
 def _word(word: str) -> str:
     """A word in one script: that of its letters without a double, else the one most of its letters are of, else Latin."""
     scripts = [script(c) for c in word]
     present = set(scripts) - {""}
-    if not present or present == {"LATIN"}:
+    if not present:
         return word
+    if present == {"LATIN"}:
+        plain = word.translate(_PHONETIC)
+        return plain if plain.isascii() and any(c.isascii() for c in word) else word
     if len(present) == 1:
         return "".join(map(_TO_LATIN.__getitem__, word)) if all(c in _TO_LATIN for c in word) else word
     if "LATIN" not in present:
         return word
     other = max(present - {"LATIN"}, key=scripts.count)
-    own = [c for c, s in zip(word, scripts, strict=True) if s == other and c not in _TO_LATIN]
+    doubles = _TO_LATIN if other in SCRIPTS[1:4] else _TO_LATIN_MIXED  # of the rarer scripts, only letters without any double tell
+    own = [c for c, s in zip(word, scripts, strict=True) if s == other and c not in doubles]
     if own and scripts.count(other) >= scripts.count("LATIN"):
         return "".join(_FROM_LATIN[other].get(c, c) if s == "LATIN" else c for c, s in zip(word, scripts, strict=True))
     return "".join(_TO_LATIN_MIXED.get(c, c) for c in word)
