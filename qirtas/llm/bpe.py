@@ -57,13 +57,36 @@ class Model:
     special: dict = field(default_factory=dict)
 
 
+# What the file of a byte-level BPE says, where it says anything; no normalizer, the pre-splitting rule of `pieces`.
+EXPECTED = {"type": "BPE", "dropout": None, "continuing_subword_prefix": (None, ""), "end_of_word_suffix": (None, ""), "byte_fallback": False, "ignore_merges": False}
+PRE_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def check(file: dict) -> None:
+    """Refuse a vocabulary file whose normalizer, pre-splitting or merging is not that of byte-level BPE."""
+
+    def differs(found: dict, wanted: dict) -> list[str]:
+        return [k for k, v in wanted.items() if k in found and found[k] not in (v if isinstance(v, tuple) else (v,))]
+
+    wrong = differs(file["model"], EXPECTED)
+    if file.get("normalizer") is not None:
+        wrong.append("normalizer")
+    split = file.get("pre_tokenizer") or {}
+    if any(split.get(k) != v for k, v in PRE_SPLIT.items()):
+        wrong.append("pre_tokenizer")
+    if wrong:
+        raise ValueError(f"no byte-level BPE of the known kind: {', '.join(wrong)}")
+
+
 def load(name: str = DEFAULT, folder: str | None = None) -> Model:
-    """Read a byte-level BPE vocabulary (a `.json` of tokenizers or a `.tiktoken` of ranks)."""
+    """Read a byte-level BPE vocabulary (a `.json` of tokenizers or a `.tiktoken` of ranks); one of another kind fails."""
     folder = folder or TOKENIZER_DIR
     path = os.path.join(folder, f"{name}.json")
     if os.path.exists(path):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        check(file)
+        model = file["model"]
         vocab = model["vocab"]
         letters = byte_letters()
         byte_id = np.zeros(256, np.int64)

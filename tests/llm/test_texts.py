@@ -28,6 +28,13 @@ def test_values_that_only_look_right(spark):
     assert forms["ہالفاسک"] == "هالفاسك" and forms["٢۸"] == "٢٨" and forms["‏"] == "" and forms["Ѕ/56/914"] == "s/56/914"
 
 
+def test_letters_of_more_scripts():
+    for odd, form in {"ᎪᏢᏢle": "apple", "cⲟde": "code", "ꓐank": "bank", "p\u0251per": "paper", "lo\u0261o": "logo"}.items():
+        assert canon.stands_in(odd) and canon.canonical(odd) == form
+    for genuine in ("ᎣᏏᏲ", "ⲕⲟⲥⲙⲟⲥ", "ꓐꓑ", "\u0261\u0251", "\u0251\u0303"):
+        assert not canon.stands_in(genuine)
+
+
 def test_further_letters_in_latin_words(spark):
     odd = {"b\u03b1nk": "bank", "pa\u03c1er": "paper", "boo\u03ba": "book", "te\u03c7t": "text", "da\u03b3s": "days", "bor\u0501er": "border", "he\u04cflo": "hello", "\u04c0sland": "island", "ri\u0475er": "river", "BA\u0393S": "bays", "lo\u0581o": "logo", "\u0548orth": "north"}
     genuine = ["\u03ba\u03b1\u03c1", "\u03c7\u03b1\u03c1\u03b1", "\u0433\u043e\u0440\u0430", "\u0561\u0581\u0584"]

@@ -101,3 +101,16 @@ def test_slices_and_ratios(spark, rows):
     n = next(r.n_tokens for r in counts.filter("record_id = 'c1' and language = 'ar'").collect())
     assert got["s", "d"].published_median == 1.25 and got["s", "d"].n_chunks == 1 and got["s", "d"].median_ratio == n / 2
     assert got["z", "d"].n_chunks is None and got["z", "d"].published_median is None
+
+
+def test_vocabularies_of_another_kind_are_refused():
+    with pytest.raises(ValueError, match="pre_tokenizer"):
+        bpe.load("word_bpe_49k")
+    import json
+
+    with open(os.path.join(bpe.TOKENIZER_DIR, "byte_bpe_50k.json"), encoding="utf-8") as f:
+        file = json.load(f)
+    bpe.check(file)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {**file["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": None}, {"model": {**file["model"], "end_of_word_suffix": "</w>"}}):
+        with pytest.raises(ValueError):
+            bpe.check({**file, **change})
