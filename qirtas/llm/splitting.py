@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.lineage import materialize, small_or_not
+from ..operators.lineage import drop_table, materialize, small_or_not
 
 SENTENCE_LIMIT, RUN_LIMIT, OVERLAP = 800, 2000, 80
 #: Beads are put in order in groups of so many bead numbers, never a whole document at once.
@@ -82,14 +82,15 @@ def run_ends(beads: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return one.join(first, ["doc_id", "bucket"], "left").select("doc_id", "bead_no", "en", "ar", F.coalesce("near", "far").alias("run_end")).filter("run_end IS NOT NULL")
 
 
-def oversized_items(sentences: DataFrame, beads: DataFrame, sentence_limit: int = SENTENCE_LIMIT, run_limit: int = RUN_LIMIT) -> DataFrame:
+def oversized_items(sentences: DataFrame, beads: DataFrame, sentence_limit: int = SENTENCE_LIMIT, run_limit: int = RUN_LIMIT, used: list[DataFrame] | None = None) -> DataFrame:
     """(unit, doc_id, lang, item_key, text) of the sentences and runs of sentences over their limit.
 
     Of each (doc_id, lang, sid) the version with the newest ingested_at counts (NULL is oldest; of equal ones the
     longest).  A run is what `run_ends` gives; its texts stand in bead and array order, NULL and '' left out, joined by
     a space; sids without sentence and NULL sids are passed over.
 
-    Lengths travel first; only the texts of oversized items are ever moved.
+    Lengths travel first; only the texts of oversized items are ever moved.  An item is one value, so a run's texts meet
+    in one task, however long the run is.  Tables written on the way are added to `used`, for the caller to remove.
     """
     keys = ["doc_id", "lang", "sid"]
     version = F.struct("ingested_at", F.length("text").alias("n"), F.xxhash64("text").alias("mark"))
@@ -112,11 +113,15 @@ def oversized_items(sentences: DataFrame, beads: DataFrame, sentence_limit: int
     alone = texts.filter(F.length("text") > sentence_limit).select(F.lit("sentence").alias("unit"), "doc_id", "lang", F.col("sid").alias("item_key"), "text")
     runs = members.select(*keys, "run_end", "bead_no", "at").join(texts, keys).groupBy("doc_id", "lang", "run_end").agg(F.sort_array(F.collect_list(F.struct("bead_no", "at", "text"))).alias("s"))
     joined = runs.select(F.lit("run").alias("unit"), "doc_id", "lang", F.col("run_end").cast("string").alias("item_key"), F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("text"))
+    if used is not None:
+        used += [newest, long_runs, members, wanted, texts]
     return alone.unionByName(joined)
 
 
 def split_oversized(sentences: DataFrame, beads: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     """(unit, doc_id, lang, item_key, piece_no, overlap_chars, piece) of every oversized sentence and run."""
-    items = materialize(oversized_items(sentences, beads))
+    used: list[DataFrame] = []
+    items = materialize(oversized_items(sentences, beads, used=used))
+    drop_table(*used)
     keys = ["unit", "doc_id", "lang", "item_key"]
     return split(items.filter("unit = 'sentence'"), keys, SENTENCE_LIMIT, overlap).unionByName(split(items.filter("unit = 'run'"), keys, RUN_LIMIT, overlap))
