@@ -1,8 +1,11 @@
 """Columnar text work for Arrow batches.
 
 A batch of strings becomes one flat array of code points plus offsets, and
-every step (classifying, cutting, hashing, looking up) is one numpy pass over
-that array.  No Python statement runs per character, per word or per row.
+every step here (classifying, cutting, hashing, looking up) is one numpy pass
+over that array, with no Python statement per character, per word or per row.
+What its users do with single values (a regular expression for each answer of
+`pairs`, the closer look of `canon`, the rims of `pii`) runs in Python for each
+distinct value or found piece.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_arabic
-from ..operators.lineage import materialize, small_or_not, spread
+from ..operators.lineage import drop_table, materialize, small_or_not, spread
 from .canon import canonical
 
 #: A copy takes at most so many bytes more, compressed with its prompt, than the prompt itself does; below, words decide ties.
@@ -265,7 +265,9 @@ def broken_ends(seen: DataFrame, prompts: DataFrame) -> DataFrame:
     never = (F.col("n") - F.col("n_end") >= LEAST_PLACES) & (F.col("n_end") < END_SHARE * F.col("n"))
     part = (F.col("longer2") >= 3) & (F.col("longer2") >= 4 * F.col("n2"))
     new = (F.col("n") == F.col("n_end")) & (F.col("longer1") >= 3) & (F.col("longer1") >= 10 * F.col("n_end"))
-    return known.filter(never | part | new).select("lang", F.col("p").alias("before"), F.col("w").alias("last"))
+    broken = materialize(known.filter(never | part | new).select("lang", F.col("p").alias("before"), F.col("w").alias("last")))
+    drop_table(two, one, ends, lengths)
+    return broken
 
 
 def defects(pairs: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -276,7 +278,7 @@ def defects(pairs: DataFrame, prompts: DataFrame) -> DataFrame:
     Repeated rows count once.  `prompts` (lang, prompt) are all texts prompts are made of, the lexicon's source.
     """
     seen = materialize(inspect(pairs))
-    broken = materialize(broken_ends(seen, prompts.distinct()))
+    broken = broken_ends(seen, prompts.distinct())
     ends = seen.filter("label IS NULL AND last IS NOT NULL").join(small_or_not(broken), ["lang", "before", "last"], "left_semi")
     told = seen.filter("label <> ''").select("tbl", "record_id", "lang", F.col("label").alias("defect"))
     return told.unionByName(ends.select("tbl", "record_id", "lang", F.lit("truncated").alias("defect"))).distinct()
