@@ -48,6 +48,7 @@ class Model:
     """Arrays of fixed size (about 1 MB), small enough to broadcast whatever the data."""
 
     byte_id: np.ndarray
+    inside: np.ndarray
     keys: np.ndarray
     ranks: np.ndarray
     merged: np.ndarray
@@ -62,6 +63,18 @@ EXPECTED = {"type": "BPE", "dropout": None, "continuing_subword_prefix": (None,
 PRE_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
+def byte_pairs(tokens: list[bytes]) -> np.ndarray:
+    """For two bytes, whether some token holds them side by side; no token reaches across any other pair."""
+    data = np.frombuffer(b"".join(tokens), np.uint8)
+    last = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens))) - 1
+    within = np.ones(len(data), bool)
+    within[last] = False
+    at = np.flatnonzero(within)
+    out = np.zeros((256, 256), bool)
+    out[data[at], data[at + 1]] = True
+    return out
+
+
 def check(file: dict) -> None:
     """Refuse a vocabulary file whose normalizer, pre-splitting or merging is not that of byte-level BPE."""
 
@@ -92,6 +105,7 @@ def load(name: str = DEFAULT, folder: str | None = None) -> Model:
         byte_id = np.zeros(256, np.int64)
         for ch, b in letters.items():
             byte_id[b] = vocab[ch]
+        inside = byte_pairs([bytes(map(letters.__getitem__, t)) for t in vocab if t and all(ch in letters for ch in t)])
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left = np.array([vocab[a] for a, _ in merges], np.int64)
         right = np.array([vocab[b] for _, b in merges], np.int64)
@@ -107,13 +121,14 @@ def load(name: str = DEFAULT, folder: str | None = None) -> Model:
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         rank, size = merged, max(ranks.values()) + 1
+        inside = byte_pairs(list(ranks))
     keys = left * size + right
     order = np.argsort(keys, kind="stable")
     classes = np.zeros(flat.TABLE, np.uint8)
     classes[flat.by_category(("L",))] = LETTER
     classes[flat.by_category(("N",))] = NUMBER
     classes[list(WHITE_SPACE)] = SPACE
-    return Model(byte_id, keys[order], rank[order], merged[order], classes, size, name)
+    return Model(byte_id, inside, keys[order], rank[order], merged[order], classes, size, name)
 
 
 def pieces(points: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,10 +178,21 @@ def pieces(points: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> tuple[n
 
 
 def merge(words: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all words in a row, offsets)."""
+    """(ids of all words in a row, offsets).
+
+    A word falls apart between bytes that no token holds side by side: its parts are merged at the same time, so that a
+    very long word without blanks does not wait for its own pairs one by one.
+    """
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    symbols = model.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-    owner = np.repeat(np.arange(len(words)), lengths)
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    symbols = model.byte_id[raw]
+    apart = np.ones(len(raw), bool)
+    if len(raw):
+        apart[1:] = ~model.inside[raw[:-1], raw[1:]]
+    begin = np.cumsum(lengths) - lengths
+    apart[begin[lengths > 0]] = True
+    owner = np.cumsum(apart) - 1
+    first_part = np.append(owner, owner[-1] + 1 if len(owner) else 0)[np.append(begin, len(raw))]
     done_owner, done_ids = [], []
     while len(symbols):
         same = owner[1:] == owner[:-1]
@@ -210,7 +236,7 @@ def merge(words: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
         owner, ids = owner[order], ids[order]
     else:
         owner, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return ids.astype(np.int32), np.searchsorted(owner, np.arange(len(words) + 1))
+    return ids.astype(np.int32), np.searchsorted(owner, first_part)
 
 
 class Encoder:

@@ -49,6 +49,15 @@ def test_long_runs_and_many_slices(reference, encoders, monkeypatch):
     assert encoders["byte_bpe_50k"].encode(pa.array(texts)).to_pylist() == [reference["byte_bpe_50k"].encode_ordinary(t) for t in texts]
 
 
+def test_a_very_long_word(reference, encoders):
+    rng = random.Random(9)
+    for name, encoder in encoders.items():
+        texts = ["".join(rng.choice("etaoinshrdluqzxjkvw") for _ in range(20_000)), "".join(rng.choice("مالكيرنتبةفع") for _ in range(5_000)), "ab" * 5_000]
+        assert encoder.encode(pa.array(texts)).to_pylist() == [reference[name].encode_ordinary(t) for t in texts]
+    pairs = bpe.byte_pairs([b"ab", b"c", b"bcd"])
+    assert pairs.sum() == 3 and pairs[ord("a"), ord("b")] and pairs[ord("c"), ord("d")] and not pairs[ord("b"), ord("a")]
+
+
 def test_special_token_strings_are_ordinary_text(reference, encoders):
     assert encoders["byte_bpe_50k"].encode(pa.array(["<|endoftext|>"])).to_pylist() == [reference["byte_bpe_50k"].encode_ordinary("<|endoftext|>")]
 
