@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import checks
 from ..functions import text as T
 
 CELLS = ("retrieved_correct", "retrieved_wrong", "missed_correct", "missed_wrong")
@@ -153,3 +154,36 @@ def answer_with(prompts: DataFrame, answerer: Callable[[list[str]], list[str]],
         return pd.Series([known.get(v) for v in values], dtype=object)
 
     return checked.withColumn("answer", F.trim(ask(F.col(prompt)))).withColumn("abstained", T.abstains(F.col("answer"), F.col("condition")))
+
+
+def within_allowance(prompts: DataFrame, cache: DataFrame, most: int, seed: str = "0") -> DataFrame:
+    """The prompts (key, ...) a run may answer with `most` new calls: cached ones are free, of the others the first keys by hash.
+
+    Rows that share a key cost one call.  A NULL key is never answered.
+    """
+    new = prompts.select("key").filter("key IS NOT NULL").distinct().join(cache.select("key").distinct(), "key", "left_anti")
+    chosen = new.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), "key"), 256), "key").limit(most)
+    allowed = chosen.unionByName(cache.select("key").distinct())
+    return prompts.join(allowed.distinct(), "key", "left_semi").select(*prompts.columns)
+
+
+def judge_with(rows: DataFrame, judge: Callable[[list[str]], list[str]], correctness: str = "correctness_prompt", support: str = "support_prompt") -> DataFrame:
+    """`rows` (abstained, context_ids and two prompts) with correct and supported from a judge's JSON verdicts.
+
+    The judge says {"correct": ...} and {"supported": ...}; anything else is no.  An abstention is wrong and is not
+    shown to the judge; support is asked only of answers with context.  Each distinct prompt of a batch is asked once.
+    """
+    off = F.coalesce("abstained", F.lit(False))
+    has_context = F.coalesce(F.size("context_ids"), F.lit(0)) > 0
+
+    @F.pandas_udf("string")
+    def ask(values: pd.Series) -> pd.Series:
+        distinct = values.dropna().unique().tolist()
+        known = dict(zip(distinct, judge(distinct), strict=True)) if distinct else {}
+        return pd.Series([known.get(v) for v in values], dtype=object)
+
+    asked = rows.withColumns({"_c": F.when(~off, F.col(correctness)), "_s": F.when(~off & has_context, F.col(support))})
+    told = asked.withColumns({"_cv": ask(F.col("_c")), "_sv": ask(F.col("_s"))})
+    correct = checks.truthy(checks.parse_object(F.col("_cv"), "correct string")["correct"])
+    supported = F.when(F.col("_s").isNotNull(), checks.truthy(checks.parse_object(F.col("_sv"), "supported string")["supported"]))
+    return told.withColumns({"correct": correct & ~off, "supported": supported}).drop("_c", "_s", "_cv", "_sv")

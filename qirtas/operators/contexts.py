@@ -67,6 +67,17 @@ def retrieved_all(positions: DataFrame) -> DataFrame:
     return positions.groupBy("qid").agg(F.bool_and(F.col("position").isNotNull()).alias("retrieved"))
 
 
+def passages_of(contexts: DataFrame, chunks: DataFrame, text: str) -> DataFrame:
+    """(qid, passages): the texts of each context in its order, from a corpus (chunk_id, text column) that may be another than the context's own.
+
+    Chunks the corpus lacks are left out; an empty context has no passages; of a repeated chunk_id the larger text counts.
+    """
+    one = chunks.groupBy("chunk_id").agg(F.max(text).alias("_text"))
+    placed = contexts.select("qid", F.posexplode_outer("context_ids").alias("i", "chunk_id")).join(one, "chunk_id", "left")
+    own = placed.groupBy("qid").agg(F.sort_array(F.collect_list(F.when(F.col("_text").isNotNull(), F.struct("i", "_text")))).alias("p"))
+    return own.select("qid", F.transform("p", lambda x: x["_text"]).alias("passages"))
+
+
 def format_passages(texts: Column) -> Column:
     """Passages of an array of texts, numbered and fenced, a blank line between them."""
     return F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit("Passage "), (i + 1).cast("string"), F.lit(":\n<<<\n"), t, F.lit("\n>>>"))), "\n\n")

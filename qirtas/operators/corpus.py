@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,6 +135,31 @@ def bead_texts(beads: DataFrame, sentences: DataFrame) -> DataFrame:
     return one.drop("en", "ar").join(texts, ["doc_id", "bead_no"], "left").withColumns({x: F.coalesce(x, F.array().cast("array<struct<at:int,pid:string,text:string>>")) for x in T.LANGS})
 
 
+def _closings(en: np.ndarray, ar: np.ndarray, ends: np.ndarray, held: tuple[int, int, bool], target: int, most: int) -> tuple[list[int], tuple[int, int, bool], bool]:
+    """(places where a new chunk begins, what the last chunk holds, whether it is closed) of consecutive beads.
+
+    `held` is what the chunk before them holds: tokens in both languages, and whether it has a bead.  From where a chunk
+    begins, running totals tell by binary search where it would overflow, and where it reaches the target.
+    """
+    n = len(en)
+    e, a = (np.concatenate(([0], np.cumsum(x))) for x in (en, ar))
+    paragraph = np.append(np.where(ends, np.arange(n), n), n)
+    paragraph = np.minimum.accumulate(paragraph[::-1])[::-1]  # the next paragraph end from each place on
+    begins, at, some = [], 0, held[2]
+    base_e, base_a = -held[0], -held[1]
+    while True:
+        over = min(int(np.searchsorted(e, base_e + most, side="right")), int(np.searchsorted(a, base_a + most, side="right"))) - 1
+        over = over if some else max(over, at + 1)  # a bead alone is a chunk, however long
+        reached = min(int(np.searchsorted(e, base_e + target)), int(np.searchsorted(a, base_a + target))) - 1
+        closing = int(paragraph[min(max(reached, at), n)])
+        begin = min(max(over, at), closing + 1)
+        if begin >= n:
+            closed = closing == n - 1 and over >= n
+            return begins, (0, 0, False) if closed else (int(e[n] - base_e), int(a[n] - base_a), some or at < n), closed
+        begins.append(begin)
+        at, some, base_e, base_a = begin, False, int(e[begin]), int(a[begin])
+
+
 def pack(beads: DataFrame, target: int = TARGET_TOKENS, most: int = MAX_TOKENS) -> DataFrame:
     """(doc_id, bead_no, grp) of beads (doc_id, bead_no, paragraph_end, en_tokens, ar_tokens): which chunk each is in.
 
@@ -142,23 +168,28 @@ def pack(beads: DataFrame, target: int = TARGET_TOKENS, most: int = MAX_TOKENS)
     false; beads of one number stay in order of arrival.
 
     What a bead does depends on all before it, so a document's beads pass one after the other; they are streamed in
-    order with three numbers of state, never gathered.
+    order, never gathered, with three numbers of state from batch to batch, and a step for each chunk, not each bead.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, en, ar, grp, some = None, 0, 0, 0, False
+        doc, held, grp = None, (0, 0, False), 0
         for frame in frames:
-            out = []
-            for d, end, e, a in zip(frame["doc_id"], frame["paragraph_end"], frame["en_tokens"], frame["ar_tokens"], strict=True):
-                if d != doc:
-                    doc, en, ar, grp, some = d, 0, 0, 0, False
-                if some and (en + e > most or ar + a > most):
-                    en, ar, grp, some = 0, 0, grp + 1, False
-                out.append(grp)
-                en, ar, some = en + e, ar + a, True
-                if end and max(en, ar) >= target:
-                    en, ar, grp, some = 0, 0, grp + 1, False
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "bead_no": frame["bead_no"], "grp": out})
+            if not len(frame):
+                continue
+            docs = frame["doc_id"].to_numpy()
+            en, ar, ends = (frame[c].to_numpy() for c in ("en_tokens", "ar_tokens", "paragraph_end"))
+            out = np.zeros(len(frame), np.int64)
+            cuts = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
+            for first, last in zip(cuts.tolist(), [*cuts[1:].tolist(), len(frame)], strict=True):
+                if docs[first] != doc:
+                    doc, held, grp = docs[first], (0, 0, False), 0
+                own = slice(first, last)
+                begins, held, closed = _closings(en[own], ar[own], ends[own].astype(bool), held, target, most)
+                steps = np.zeros(last - first, np.int64)
+                steps[begins] = 1
+                out[own] = grp + np.cumsum(steps)
+                grp += len(begins) + closed
+            yield pd.DataFrame({"doc_id": docs, "bead_no": frame["bead_no"], "grp": out})
 
     whole = beads.filter("doc_id IS NOT NULL AND bead_no IS NOT NULL").select(
         "doc_id", F.col("bead_no").cast("bigint").alias("bead_no"), F.coalesce("paragraph_end", F.lit(False)).alias("paragraph_end"), *(F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(c) for c in ("en_tokens", "ar_tokens"))

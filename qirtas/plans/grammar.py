@@ -17,6 +17,15 @@ from ..operators import dense, fusion, retrieval
 # The order in which configurations are reported.
 LADDER = ("bm25-raw", "bm25-norm", "bm25-light", "e5-base", "bge-m3", "hybrid:bm25-light+e5-base", "hybrid:bm25-light+bge-m3", "rerank:hybrid:bm25-light+bge-m3")
 DEPTH = 100
+# The question file each corpus is evaluated with; the uncorrected corpus has the same questions.
+QUESTION_FILES = {"xquad": "xquad.jsonl", "unpc": "unpc_pilot.jsonl", "unpc_uncorrected": "unpc_pilot.jsonl"}
+
+
+def questions_of(corpus: str) -> str:
+    """The question file of a corpus; an unknown corpus fails."""
+    if corpus not in QUESTION_FILES:
+        raise ValueError(f"no corpus {corpus!r}; there are {', '.join(sorted(QUESTION_FILES))}")
+    return QUESTION_FILES[corpus]
 
 
 @dataclass

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +27,33 @@ def read_keyed(spark: SparkSession, path: str, schema: str | StructType, key: st
     return read_jsonl(spark, path, schema).join(small_or_not(wanted.select(key).distinct()), key, "left_semi")
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """Replace `path`; readers see the old or the new files, as the commit protocol moves them in at the end."""
-    df.write.mode("overwrite").json(path)
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of a path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+class Frozen(Exception):
+    """A table that must not be built again."""
+
+
+def refuse_frozen(spark: SparkSession, path: str, frozen: bool = True) -> None:
+    """Fail if what is to be written is frozen and already there."""
+    system, at = _files(spark, path)
+    if frozen and system.exists(at):
+        raise Frozen(f"{path} is frozen; it is not built again")
+
+
+def write_jsonl(df: DataFrame, path: str, frozen: bool = False) -> None:
+    """Replace `path`: the new files are written beside it and take its place when they are whole; a frozen table stays."""
+    spark = df.sparkSession
+    refuse_frozen(spark, path, frozen)
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.json(beside)
+    system, at = _files(spark, path)
+    system.delete(at, True)
+    if not system.rename(_files(spark, beside)[1], at):
+        raise OSError(f"{beside} could not be moved to {path}")
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -114,3 +139,13 @@ def load_env(path: str, into: dict | None = None) -> dict:
                 if eq and not name.startswith("#"):
                     into.setdefault(name.strip(), value.strip().strip("'\""))
     return into
+
+
+def environment(modules: list[str], hashes: DataFrame | None = None, pinned: dict[str, str] | None = None) -> list[str]:
+    """What a run would lack: modules that cannot be imported, and pinned files that are missing or differ."""
+    import importlib.util
+
+    lacking = [f"module {m}" for m in modules if importlib.util.find_spec(m) is None]
+    if hashes is not None and pinned:
+        lacking += sorted(f"file {r.name}" for r in check_pinned(hashes, pinned).collect())  # at most as many as are pinned
+    return lacking

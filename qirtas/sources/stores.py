@@ -27,6 +27,20 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("basePath", root).schema("qid string, doc string, score double, rank int, corpus string, config string, pair string").parquet(root)
 
 
+def vectors_of(texts: DataFrame, root: str, key: str, encode: Callable[[DataFrame], DataFrame], id_column: str = "id") -> DataFrame:
+    """(id, vector) of texts under the fingerprint `key`: read from the store, or made by `encode`, stored and read.
+
+    A key stands for a model, a prefix and texts (`dense.fingerprint`), so other texts never meet old vectors.
+    """
+    spark = texts.sparkSession
+    place = f"{root}/key={key}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        encode(texts).select(F.col(id_column).alias("id"), "vector").write.mode("overwrite").parquet(place)
+    return spark.read.schema(f"id {texts.schema[id_column].dataType.simpleString()}, vector array<float>").parquet(place)
+
+
 def request_key(endpoint: Column, model: Column, messages: Column, params: Column) -> Column:
     """Content address of a request: the hash of its JSON."""
     return F.sha2(F.to_json(F.struct(endpoint.alias("endpoint"), messages.alias("messages"), model.alias("model"), params.alias("params"))), 256)

@@ -201,3 +201,38 @@ def test_headers_and_ids(spark):
     two = spark.createDataFrame([("a", "b"), (" ", "b"), ("a", None)], "en string, ar string")
     assert corpus.both_sides(two).count() == 1
     assert pytest.approx(1.0) == spark.createDataFrame([(2, 2)], "n_links int, n_one_to_one int").select(corpus.ratio()).first()[0]
+
+
+def one_by_one(en, ar, ends, target, most):
+    out, e, a, grp, some = [], 0, 0, 0, False
+    for x, y, end in zip(en, ar, ends, strict=True):
+        if some and (e + x > most or a + y > most):
+            e, a, grp, some = 0, 0, grp + 1, False
+        out.append(grp)
+        e, a, some = e + x, a + y, True
+        if end and max(e, a) >= target:
+            e, a, grp, some = 0, 0, grp + 1, False
+    return out
+
+
+def test_closings_equal_one_by_one():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(400):
+        n = rng.randrange(1, 40)
+        en, ar, ends = [rng.choice([0, 1, 3, 9, 25]) for _ in range(n)], [rng.choice([0, 2, 4, 8, 30]) for _ in range(n)], [rng.random() < 0.4 for _ in range(n)]
+        target, most = rng.choice([(5, 12), (10, 20), (1, 1), (20, 20)])
+        held, grp, out, at = (0, 0, False), 0, [], 0
+        while at < n:  # in batches of any size
+            step = rng.randrange(1, n + 1)
+            own = slice(at, min(n, at + step))
+            begins, held, closed = corpus._closings(np.array(en[own]), np.array(ar[own]), np.array(ends[own]), held, target, most)
+            marks = np.zeros(own.stop - at, int)
+            marks[begins] = 1
+            out += (grp + np.cumsum(marks)).tolist()
+            grp += len(begins) + closed
+            at = own.stop
+        assert out == one_by_one(en, ar, ends, target, most)
