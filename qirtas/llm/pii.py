@@ -418,10 +418,10 @@ def frame_texts(names: Names, rng: np.random.Generator) -> tuple[list[str], list
 HIDDEN = 0.3
 
 
-def train(texts: list[str], epochs: int = 6, seed: int = 7) -> Model:
-    """Fit the potentials to the texts, labelled by the cues and by the names these lead to."""
+def train(texts: list[str], found: list[list[tuple[int, int, int]]] | None = None, epochs: int = 6, seed: int = 7) -> Model:
+    """Fit the potentials to the texts, labelled by the cues (`found`, if they ran before) and by the names these lead to."""
     rng = np.random.default_rng(seed)
-    found = [cued(t) for t in texts]
+    found = [cued(t) for t in texts] if found is None else found
     names = learn_names(texts, found)
     spans = [label(t, names, own) for t, own in zip(texts, found, strict=True)]
     known = names.given | names.family
@@ -803,14 +803,24 @@ def fit(documents: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS
     """Train on at most `sample_docs` distinct texts of at most `sample_chars` characters: those with the smallest hashes.
 
     A first bound on the hash, from about the number of distinct texts, leaves about twice the sample; copies of those
-    are merged where they are read, and only what is left is sorted and sent.
+    are merged where they are read, and only what is left is sorted and sent.  The cues run on the executors; the driver
+    fits a model of fixed size to the bounded sample.
     """
     hashed = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     own = documents.select(F.col(text).cast("string").alias("text")).filter(F.length("text").between(1, sample_chars)).withColumn("h", hashed)
     distinct = own.agg(F.approx_count_distinct("text")).first()[0]
     bound = min(1 << 30, int(2 * sample_docs / max(1, distinct) * (1 << 30)) + 1)
-    rows = own.filter(F.col("h") < bound).dropDuplicates(["h", "text"]).orderBy("h", "text").limit(sample_docs).select("text").collect()
-    return train([r.text for r in rows])
+    chosen = own.filter(F.col("h") < bound).dropDuplicates(["h", "text"]).orderBy("h", "text").limit(sample_docs)
+
+    def run(batches):
+        for batch in batches:
+            spans = [[{"a": a, "b": b, "kind": k} for a, b, k in cued(t)] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([(c, pa.int32()) for c in ("a", "b", "kind")])))], ["h", "text", "found"])
+
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    rows = chosen.select("h", "text").repartition(cores, "text").mapInArrow(run, "h bigint, text string, found array<struct<a: int, b: int, kind: int>>").collect()
+    rows.sort(key=lambda r: (r.h, r.text))
+    return train([r.text for r in rows], [[tuple(x) for x in r.found] for r in rows])
 
 
 def personal_information(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -160,6 +160,13 @@ j{x} AS (SELECT a.chunk_id AS chunk_id_1, b.chunk_id AS chunk_id_2, count(*) AS
     for x in ("en", "ar")
 ) + " SELECT chunk_id_1, chunk_id_2 FROM jen WHERE k / (m + n - k) >= 0.8 UNION SELECT chunk_id_1, chunk_id_2 FROM jar WHERE k / (m + n - k) >= 0.8"
 
+P4_GROUPS_SQL = f"""
+WITH RECURSIVE p AS MATERIALIZED ({P4_FOUND_SQL}), n AS (SELECT DISTINCT chunk_id FROM chunks WHERE len({S.tokens('en', 'en')}) > 0 OR len({S.tokens('ar', 'ar')}) > 0),
+e AS (SELECT chunk_id_1 AS a, chunk_id_2 AS b FROM p UNION SELECT chunk_id_2, chunk_id_1 FROM p),
+reach(node, label) AS (SELECT chunk_id, chunk_id FROM n UNION SELECT e.b, reach.label FROM reach JOIN e ON reach.node = e.a WHERE e.b >= reach.label)
+SELECT node AS chunk_id, min(label) AS group_id FROM reach GROUP BY node
+"""
+
 _LATIN, _OTHER = "A-Za-z\\x{c0}-\\x{24f}", "\\x{370}-\\x{52f}"
 _HIDDEN = "\\x{ad}\\x{34f}\\x{61c}\\x{180b}-\\x{180e}\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{206f}\\x{feff}"
 _FORMS = "\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}\\x{ff01}-\\x{ffee}\\x{fb00}-\\x{fb4f}\\x{fb50}-\\x{fdff}\\x{fe70}-\\x{fefc}\\x{2160}-\\x{217f}"
@@ -184,4 +191,4 @@ P8_FOUND_SQL = f"SELECT DISTINCT d.doc_id, i.item_id FROM {_runs('documents', 'd
 P8_ITEMS_SQL = f"""SELECT i.item_id, i.suite, i.kind, CASE WHEN i.checked THEN n_documents END AS n_documents FROM (SELECT i.item_id, i.suite, i.kind, i.checked, count(f.doc_id) AS n_documents
   FROM (SELECT item_id, suite, kind, max(len({_words('text')}) >= 12) AS checked FROM eval_items GROUP BY ALL) i LEFT JOIN ({P8_FOUND_SQL}) f USING (item_id) GROUP BY ALL) i"""
 
-SQL = {"p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p8_found": P8_FOUND_SQL, "p8_items": P8_ITEMS_SQL}
+SQL = {"p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p4_groups": P4_GROUPS_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p8_found": P8_FOUND_SQL, "p8_items": P8_ITEMS_SQL}
