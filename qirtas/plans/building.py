@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import checks, financing, symbols
+from ..functions import checks, financing, stemming, symbols
 from ..functions import text as T
 from ..operators import appropriations, contexts, corpus, dense, questions, sampling
 from ..operators.lineage import materialize, shared_folder, small_or_not
@@ -151,6 +151,13 @@ def bridges(spark, folder):
 
 # --- prompts, verdicts and questions -----------------------------------------------------------------------------
 
+def arabic_stems(spark, folder):
+    """The words of the Arabic chunks with their light stems, and how many texts hold them."""
+    own = _chunks(spark, folder, "ar").select("chunk_id", T.normalized(F.coalesce("ar", F.lit("")), "ar").alias("normal"))
+    words = own.select("chunk_id", F.explode(F.array_distinct(T.words(F.col("normal")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.select("word", stemming.stem_arabic(F.col("word")).alias("stem"), "n")
+
+
 TEMPLATE = "Passages:\n$passages\n\nQuestion ($kind): ${question}\nCost: $$1"
 
 
@@ -308,7 +315,7 @@ def resolution_paths(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        jsonl_keyed, jsonl_fields, tsv_pairs, stored_runs, cached_answers, appended_ledger, audit_export, text_fingerprint, pair_index, path_mismatches, headed_chunks, both_languages, alignment_errors_reversed, subject_terms, bridges,
+        jsonl_keyed, jsonl_fields, tsv_pairs, stored_runs, cached_answers, appended_ledger, audit_export, text_fingerprint, pair_index, path_mismatches, headed_chunks, both_languages, alignment_errors_reversed, subject_terms, bridges, arabic_stems,
         rendered_prompts, parsed_verdicts, evidence_checks, single_statuses, bridge_statuses, comparison_statuses, built_questions, replaced_kinds, status_ranking, evaluation_report,
         appropriation_records, appropriation_firsts, appropriation_periods, appropriation_histogram, appropriation_verdict, resolution_paths,
     )
@@ -434,6 +441,14 @@ SELECT 0 AS place, '| {" | ".join(_COLUMNS)} |' AS line UNION ALL SELECT 1, '|{"
 UNION ALL SELECT CAST(row_number() OVER (ORDER BY pair) + 1 AS INTEGER), '| ' || config || ' | ' || pair || ' | ' || format('{{:,}}', n) || ' | ' || {" || ' | ' || ".join(f"format('{{:.3f}}', {c})" for c in _COLUMNS[3:])} || ' |' FROM ({oracle.EVAL})
 """
 
+# Light stems: one prefix, then every suffix, where enough letters stay.
+_CUT = "CASE " + " ".join(f"WHEN starts_with(word, '{p}') AND length(word) >= {4 if len(p) == 1 else len(p) + 2} THEN substr(word, {len(p) + 1})" for p in stemming.ARABIC_PREFIXES) + " ELSE word END"
+_SUFFIXES = ", ".join(S.quote(x) for x in stemming.ARABIC_SUFFIXES)
+STEMS = f"""
+SELECT word, list_reduce(list_concat([{_CUT}], [{_SUFFIXES}]), lambda w, x: CASE WHEN length(w) >= length(x) + 2 AND ends_with(w, x) THEN left(w, length(w) - length(x)) ELSE w END) AS stem, n
+FROM (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct({S.tokens('ar', 'ar')})) AS word FROM {CHUNKS}) GROUP BY word)
+"""
+
 # A configuration by name: the hybrid of two analyzers, scored anew by the F1 of words in small letters.
 
 
@@ -526,6 +541,7 @@ SQL = {
     "appropriation_histogram": f"WITH {RESOLUTIONS} SELECT n_missions, count(*) AS n_periods FROM {PERIODS} GROUP BY 1",
     "appropriation_verdict": f"WITH {RESOLUTIONS} SELECT (SELECT count(DISTINCT mission) FROM {FIRSTS}) AS n_missions, count(*) AS n_periods, CAST(sum(disjoint_pairs) AS BIGINT) AS disjoint_pairs, CAST(sum(all_pairs) AS BIGINT) AS all_pairs, sum(disjoint_pairs) >= 5 AS enough FROM {PERIODS}",
     "resolution_paths": "SELECT DISTINCT doc_id, regexp_replace(doc_id, '^[^/]*/', '') AS key FROM unpc_docs WHERE regexp_matches(doc_id, '^[0-9]{4}/a/')",
+    "arabic_stems": STEMS,
     "grammar_hybrid": HYBRID,
     "question_funnel": FUNNEL,
     "number_repair": REPAIR,
