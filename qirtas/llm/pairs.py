@@ -72,6 +72,7 @@ MONTHS = frozenset("january february march april may june july august september
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|_")
 _SYMBOL = re.compile(r"\b[a-z]{1,6}(?:/[\w.()-]+)+")
 _QUOTED = re.compile(r"\s*(?:\([^()]*\)|«[^«»]*»|\[[^\[\]]*\])")
+_DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"\d[\d,.  ]*\d|\d")
 _BAD_GROUP = re.compile(r"(?<![\d,])\d{1,3}(?:,\d{3})*,\d{1,2}$")
 _MARKS = dict.fromkeys([*range(0x64B, 0x660), 0x670, 0x640])
@@ -83,7 +84,7 @@ _ANY_OTHER = frozenset().union(*_OTHERS.values())
 _SHOWN = re.compile(r"[^\W_]")
 _LEAD = re.compile(r"^(?:the )?(?:answer|الجواب|response)(?: is| هو)?\s*:?\s*")
 _LATIN, _ARABIC, _LETTER = re.compile(r"[a-zÀ-ɏ]+"), re.compile(r"[ؠ-يٱ-ۓ]+"), re.compile(r"[^\W\d_]+")
-_DOTS, _OPEN_END, _DAY = re.compile(r"(?:\.\.+|…)$"), re.compile(r"\w$"), re.compile(r"([^\W\d_]+) (\d{1,3})$")
+_OPEN_END, _DAY = re.compile(r"\w$"), re.compile(r"([^\W\d_]+) (\d{1,3})$")
 _PIECE = re.compile(r"#|@|[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _EN = re.compile("|".join(DECLINE_EN))
 _AR = re.compile("|".join(DECLINE_AR))
@@ -99,13 +100,23 @@ def _folded(text: str) -> str:
     return text if text.isascii() else fold_arabic(text)
 
 
+# Each phrase of DECLINE_EN holds one of these.
+_HINTS = ("not", "n't", "unable", "decline", "refuse", "no ", "insufficient", " un", "as a", "impossible", "sorry", "apolog")
+
+
 def declines(text: str) -> bool:
     """Whether a text in its plain form declines to answer."""
     said = text.strip(" .!?؟\"'«»()[]:;…-")
-    bare = _LEAD.sub("", _QUOTED.sub("", said)).strip(" .!?؟\"'«»:;…-")
-    if len(bare) < 40 and " ".join(bare.replace("_", " ").replace("/", " ").split()) in DECLINE_TOKENS:
+    bare = said
+    if "(" in bare or "«" in bare or "[" in bare:
+        bare = _QUOTED.sub("", bare)
+    if len(bare) < 80:
+        bare = _LEAD.sub("", bare).strip(" .!?؟\"'«»:;…-")
+        if len(bare) < 40 and " ".join(bare.replace("_", " ").replace("/", " ").split()) in DECLINE_TOKENS:
+            return True
+    if any(h in said for h in _HINTS) and _EN.search(said):
         return True
-    return bool(_EN.search(said) or (not said.isascii() and _AR.search(fold_arabic(said))))
+    return not said.isascii() and bool(_AR.search(fold_arabic(said)))
 
 
 def _compressed(text: bytes, known: bytes) -> int:
@@ -125,7 +136,7 @@ def _prompt(prompt: str) -> tuple[frozenset[str], bytes, int, int]:
     return frozenset(words), raw, _compressed(raw, _FRAME + raw), _compressed(raw, _FRAME)
 
 
-def copies(text: str, prompt: str) -> bool:
+def copies(text: str, prompt: str, words: list[str] | None = None) -> bool:
     """Whether a text gives back its prompt and nothing else of content (both in plain form).
 
     The text adds nothing if, compressed with the prompt as dictionary, it takes no more than the prompt itself; it is
@@ -133,7 +144,7 @@ def copies(text: str, prompt: str) -> bool:
     lacks are content, unless they compress to less than half (a prompt's word misspelt).
     """
     asked, raw, own, alone = _prompt(prompt)
-    words = [w for w in _WORD.findall(text) if w not in FRAME]
+    words = [w for w in (_WORD.findall(text) if words is None else words) if w not in FRAME]
     if not asked or not words:
         return False
     if alone - own < LEAST_SAVED:
@@ -146,17 +157,19 @@ def copies(text: str, prompt: str) -> bool:
     return new == 0 or 2 * added < new
 
 
-def foreign(text: str, raw: str, lang: str) -> bool:
+def foreign(text: str, raw: str, lang: str, words: list[str] | None = None) -> bool:
     """Whether a text in plain form is written in another language than `lang`; what it quotes in brackets is passed over."""
     if lang not in ("en", "ar"):
         return False
+    if lang == "en" and text.isascii() and _ANY_OTHER.isdisjoint(_WORD.findall(text) if words is None else words):
+        return False
     body = _QUOTED.sub(" ", text)
     body = _SYMBOL.sub(" ", body if _SHOWN.search(body) else text)
     latin, arabic, letters = (sum(map(len, x.findall(body))) for x in (_LATIN, _ARABIC, _LETTER))
     if not letters:
         return False
     if lang == "ar":
-        return arabic * 2 < letters or sum(w in PERSIAN for w in raw.split()) >= 2
+        return arabic * 2 < letters or (not PERSIAN.isdisjoint(raw.split()) and sum(w in PERSIAN for w in raw.split()) >= 2)
     if latin * 2 < letters:
         return True
     words = _WORD.findall(body)
@@ -169,7 +182,11 @@ def foreign(text: str, raw: str, lang: str) -> bool:
 
 def pieces(text: str) -> list[str]:
     """Words of a plain text for the terminal-context model; numbers and symbols are one word each."""
-    return _PIECE.findall(_folded(_NUMBER.sub("#", _SYMBOL.sub("@", text))))
+    if "/" in text:
+        text = _SYMBOL.sub("@", text)
+    if _DIGIT.search(text):
+        text = _NUMBER.sub("#", text)
+    return _PIECE.findall(_folded(text))
 
 
 _plain_prompt = functools.lru_cache(10_000)(plain)
@@ -189,21 +206,23 @@ def look(response: str | None, prompt: str | None, lang: str | None, abstained:
         return "empty", None, None, []
     if declines(text):
         return ("" if abstained else "refusal"), None, None, []
-    if prompt is not None and copies(text, _plain_prompt(prompt)):
+    found = _WORD.findall(text)
+    if prompt is not None and copies(text, _plain_prompt(prompt), found):
         return "copied_question", None, None, []
-    if foreign(text, response, lang or ""):
+    if foreign(text, response, lang or "", found):
         return "other_language", None, None, []
     body = text.rstrip("\"' ")
     words = pieces(body)
-    if _DOTS.search(body) and words:
+    if words and body.endswith(("..", "…")):
         return "truncated", None, None, []
-    if not _OPEN_END.search(body):
+    if not _OPEN_END.search(body[-1:]):
         return None, None, None, words
-    if _BAD_GROUP.search(body):
-        return "truncated", None, None, []
-    short = _DAY.search(_folded(body))
-    if short and short[1] in MONTHS:
-        return "truncated", None, None, []
+    if body[-1].isdigit():
+        if _BAD_GROUP.search(body):
+            return "truncated", None, None, []
+        short = _DAY.search(_folded(body))
+        if short and short[1] in MONTHS:
+            return "truncated", None, None, []
     if not words:
         return None, None, None, []
     return None, words[-2] if len(words) > 1 else "", words[-1], words
