@@ -96,12 +96,16 @@ def oversized_items(sentences: DataFrame, beads: DataFrame, sentence_limit: int
     version = F.struct("ingested_at", F.length("text").alias("n"), F.xxhash64("text").alias("mark"))
     newest = sentences.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND sid IS NOT NULL").groupBy(*keys).agg(F.max(version).alias("v")).filter("v.n > 0")
     newest = materialize(newest.select(*keys, "v.ingested_at", "v.n", "v.mark"))
-    ends = run_ends(beads)
-    sides = [ends.select("doc_id", F.lit(x).alias("lang"), "run_end", "bead_no", F.posexplode(x).alias("at", "sid")) for x in ("en", "ar")]
-    named = sides[0].unionByName(sides[1]).filter("sid IS NOT NULL")
-    totals = named.join(newest.select(*keys, "n"), keys).groupBy("doc_id", "lang", "run_end").agg((F.sum("n") + F.count("*") - 1).alias("total"))
+    ends = materialize(run_ends(beads))
+
+    def named(by: DataFrame) -> DataFrame:
+        sides = [by.select("doc_id", F.lit(x).alias("lang"), "run_end", "bead_no", F.posexplode(x).alias("at", "sid")) for x in ("en", "ar")]
+        return sides[0].unionByName(sides[1]).filter("sid IS NOT NULL")
+
+    totals = named(ends).join(newest.select(*keys, "n"), keys).groupBy("doc_id", "lang", "run_end").agg((F.sum("n") + F.count("*") - 1).alias("total"))
     long_runs = materialize(totals.filter(F.col("total") > run_limit).select("doc_id", "lang", "run_end"))
-    members = materialize(named.join(small_or_not(long_runs), ["doc_id", "lang", "run_end"]).join(newest, keys).select(*keys, "run_end", "bead_no", "at", "ingested_at", "n", "mark"))
+    long = small_or_not(long_runs)
+    members = materialize(named(ends).join(long, ["doc_id", "lang", "run_end"]).join(newest, keys).select(*keys, "run_end", "bead_no", "at", "ingested_at", "n", "mark"))
     long_sentences = newest.filter(F.col("n") > sentence_limit).select(*keys, "ingested_at", "n", "mark")
     wanted = materialize(long_sentences.unionByName(members.select(*keys, "ingested_at", "n", "mark")).distinct())
     v = wanted.select(F.col("doc_id").alias("d"), F.col("lang").alias("l"), F.col("sid").alias("s"), F.col("ingested_at").alias("t"), F.col("n").alias("m"), F.col("mark").alias("k"))
@@ -114,7 +118,7 @@ def oversized_items(sentences: DataFrame, beads: DataFrame, sentence_limit: int
     runs = members.select(*keys, "run_end", "bead_no", "at").join(texts, keys).groupBy("doc_id", "lang", "run_end").agg(F.sort_array(F.collect_list(F.struct("bead_no", "at", "text"))).alias("s"))
     joined = runs.select(F.lit("run").alias("unit"), "doc_id", "lang", F.col("run_end").cast("string").alias("item_key"), F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("text"))
     if used is not None:
-        used += [newest, long_runs, members, wanted, texts]
+        used += [newest, ends, long_runs, members, wanted, texts]
     return alone.unionByName(joined)
 
 
