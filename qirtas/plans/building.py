@@ -7,14 +7,16 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks, financing, stemming, symbols
 from ..functions import text as T
-from ..operators import appropriations, contexts, corpus, dense, questions, sampling
+from ..operators import answers, appropriations, contexts, corpus, dense, questions, sampling
 from ..operators.lineage import materialize, shared_folder, small_or_not
-from ..sources import files, stores
+from ..sources import corpora, files, stores
+from ..streaming import ledger
 from . import grammar, oracle
 from . import sqltext as S
 from .queries import SALT, _chunks, _generation, _sampled, read
@@ -91,6 +93,64 @@ def text_fingerprint(spark, folder):
     return dense.fingerprint(own, "doc_id", "text", "encoder-1", "passage: ")
 
 
+BLOCK = 500
+
+
+def xml_links(spark, folder):
+    """Beads written as an alignment file, in groups of `BLOCK`, and read back for the documents with sentences in both languages."""
+    beads = read(spark, folder, "beads").select("doc_id", "bead_no", "en", "ar").distinct()
+    side = lambda x: F.array_join(F.col(x), " ")
+    link = F.concat(F.lit('<link xtargets="'), side("ar"), F.lit(";"), side("en"), F.lit('"/>'))
+    grouped = beads.groupBy("doc_id", F.floor(F.col("bead_no") / BLOCK).alias("b")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bead_no", link.alias("x")))), lambda r: r["x"]), "").alias("links"))
+    line = F.concat(F.lit('<linkGrp fromDoc="ar/'), "doc_id", F.lit('.xml.gz" toDoc="en/'), "doc_id", F.lit('.xml.gz" score="'), F.col("b").cast("string"), F.lit('">'), "links", F.lit("</linkGrp>"))
+    path = _place(spark)
+
+    def rooted(batches):
+        # a file is what a partition writes: it needs one root
+        yield pa.RecordBatch.from_arrays([pa.array(["<cesAlign>"])], ["value"])
+        yield from batches
+        yield pa.RecordBatch.from_arrays([pa.array(["</cesAlign>"])], ["value"])
+
+    grouped.select(line.alias("value")).mapInArrow(rooted, "value string").write.text(path)
+    found = corpora.read_links(spark, path, both_languages(spark, folder))
+    return found.select(F.col("en_doc").alias("doc_id"), F.col("score").cast("bigint").alias("block"), F.col("place").cast("bigint").alias("place"), F.array_join("ar", " ").alias("ar"), F.array_join("en", " ").alias("en"))
+
+
+def xml_documents(spark, folder):
+    """Sentences written as XML documents of `BLOCK` sentences each, and parsed again."""
+    own = corpus.newest_sentences(read(spark, folder, "sentences")).filter("lang = 'en' AND text IS NOT NULL")
+    safe = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
+    line = F.concat(F.lit('<p id="'), "pid", F.lit('"><s id="'), "sid", F.lit('">'), safe, F.lit("</s></p>"))
+    grouped = own.groupBy("doc_id", F.floor(F.col("pos") / BLOCK).alias("b")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sid", line.alias("x")))), lambda r: r["x"]), "").alias("body"))
+    whole = F.concat(F.lit("<TEI><teiHeader><idno type=\"symbol\">"), "doc_id", F.lit("</idno><keywords><term>one</term><term> </term></keywords><p><s id=\"0\">not in the body</s></p></teiHeader><text><body>"), "body", F.lit("</body></text></TEI>"))
+    parsed = corpora.parse_documents(grouped.select(F.concat_ws("#", "doc_id", F.col("b").cast("string")).alias("path"), F.encode(whole, "utf-8").alias("content")))
+    return parsed.select("path", "symbol", F.size("keywords").cast("bigint").alias("n_keywords"), F.size("sentences").cast("bigint").alias("n"), F.get("sentences", F.lit(0))["sid"].alias("first"), F.col("error").isNotNull().alias("broken"))
+
+
+def encoded_texts(spark, folder):
+    """Vectors of the questions under their fingerprint, by an encoder that counts letters; stored, and read back."""
+    own = read(spark, folder, "questions").dropDuplicates(["qid"]).select(F.col("qid").alias("id"), F.col("question.en").alias("text"))
+    encode = lambda df: dense.encode(df, lambda batch: [[float(len(t)), 100.0] for t in batch], prefix="query: ")
+    found = stores.vectors_of(own, _place(spark), "letters", encode)
+    return found.select("id", *(F.round(F.get("vector", F.lit(i)).cast("double"), 4).alias(x) for i, x in enumerate(("x", "y"))))
+
+
+def ledger_windows(spark, folder):
+    """Answers as a usage ledger, added up by day by a stream that runs twice; the second run's late entry closes all days."""
+    source, target, checkpoint = _place(spark), _place(spark), _place(spark)
+    day = 86_400
+    own = _generation(spark, folder).filter("answered_at IS NOT NULL")
+    entry = own.select(F.to_timestamp(F.concat(F.col("answered_at").cast("string"), F.lit("Z"))).alias("ts"), "model", F.col("gen_id").cast("string").alias("key"), F.length(F.coalesce("answer", F.lit(""))).cast("bigint").alias("prompt_tokens"), F.lit(1).cast("bigint").alias("completion_tokens"))
+    stores.append(entry, source)
+    usage = lambda: ledger.run_available(ledger.usage_by_window(ledger.read_ledger(spark, source)), target, checkpoint)
+    usage()
+    last = spark.range(1).select(F.to_timestamp(F.lit("2999-01-01 00:00:00Z")).alias("ts"), F.lit("end").alias("model"), F.lit("end").alias("key"), F.lit(0).cast("bigint").alias("prompt_tokens"), F.lit(0).cast("bigint").alias("completion_tokens"))
+    stores.append(last, source)
+    usage()
+    rows = spark.read.schema("start timestamp, model string, calls bigint, prompt_tokens bigint, completion_tokens bigint").parquet(f"{target}/batch=*")
+    return rows.filter("model <> 'end'").select(F.floor(F.unix_seconds("start") / day).alias("day"), "model", "calls", "prompt_tokens", "completion_tokens")
+
+
 # --- documents and chunks ----------------------------------------------------------------------------------------
 
 
@@ -179,6 +239,36 @@ def parsed_verdicts(spark, folder):
     return read_back.select("gen_id", checks.truthy(F.col("o.correct")).alias("correct"), checks.truthy(F.col("o.supported")).alias("supported"), F.col("o").isNotNull().alias("parsed"))
 
 
+def stub_answers(spark, folder):
+    """Answers to the questions with their Arabic context by a stand-in that declines every prompt of an even length."""
+    own = _generation(spark, folder).select(F.col("gen_id").cast("string").alias("qid"), "condition", "context_ids", F.col("qid").alias("q"))
+    texts = contexts.passages_of(own.select("qid", "context_ids"), _chunks(spark, folder, "ar"), "ar")
+    prompts = own.select("qid", "condition", "q").join(texts, "qid").withColumn("prompt", F.concat_ws("\n", "q", F.array_join("passages", "\n")))
+    allowed = prompts.filter("condition <> 'closed_book' OR size(passages) = 0")
+    return answers.answer_with(allowed, lambda asked: [" UNKNOWN NOT_IN_CONTEXT" if len(a) % 2 == 0 else a[:12] for a in asked]).select("qid", "answer", "abstained")
+
+
+def stub_verdicts(spark, folder):
+    """Verdicts by a stand-in judge that finds right what is of an even length."""
+    own = _generation(spark, folder).select("gen_id", "abstained", "context_ids", F.coalesce("answer", F.lit("")).alias("correctness_prompt"), F.coalesce("qid", F.lit("")).alias("support_prompt"))
+    judged = answers.judge_with(own, lambda asked: [f'{{"correct": {str(len(a) % 2 == 0).lower()}, "supported": "{str(len(a) % 3 == 0).lower()}"}}' for a in asked])
+    return judged.select("gen_id", "correct", "supported")
+
+
+def allowed_calls(spark, folder):
+    """The calls a run may make with fifty new ones, answers of one model being in the cache."""
+    own = _generation(spark, folder).select("gen_id", F.col("cache_key").alias("key"), "model")
+    cache = own.filter("model = 'model-a' OR gen_id % 3 = 0").select("key")
+    return answers.within_allowance(own.select("key", "gen_id"), cache, 50, SALT).select("gen_id")
+
+
+def same_answers(spark, folder):
+    """Which reference answers say the same in both languages, word for word."""
+    rows = read(spark, folder, "questions").dropDuplicates(["qid"]).select("qid", F.col("answer.en").alias("en"), F.col("answer.ar").alias("ar"), F.lit(None).cast("string").alias("type"), "kind")
+    own, t = questions.prepare(rows, {"en": "en", "ar": "ar"})
+    return own.select("qid", questions.kind_of(own).alias("kind"), questions.same_answer(t["en"], t["ar"]).alias("same"))
+
+
 def _question_rows(spark, folder) -> DataFrame:
     """(qid, kind, question, answer and first gold passage in both languages)."""
     own = read(spark, folder, "questions").dropDuplicates(["qid"])
@@ -315,8 +405,8 @@ def resolution_paths(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        jsonl_keyed, jsonl_fields, tsv_pairs, stored_runs, cached_answers, appended_ledger, audit_export, text_fingerprint, pair_index, path_mismatches, headed_chunks, both_languages, alignment_errors_reversed, subject_terms, bridges, arabic_stems,
-        rendered_prompts, parsed_verdicts, evidence_checks, single_statuses, bridge_statuses, comparison_statuses, built_questions, replaced_kinds, status_ranking, evaluation_report,
+        jsonl_keyed, jsonl_fields, tsv_pairs, stored_runs, cached_answers, appended_ledger, audit_export, text_fingerprint, xml_links, xml_documents, encoded_texts, ledger_windows, pair_index, path_mismatches, headed_chunks, both_languages, alignment_errors_reversed, subject_terms, bridges, arabic_stems,
+        rendered_prompts, parsed_verdicts, stub_answers, stub_verdicts, allowed_calls, same_answers, evidence_checks, single_statuses, bridge_statuses, comparison_statuses, built_questions, replaced_kinds, status_ranking, evaluation_report,
         appropriation_records, appropriation_firsts, appropriation_periods, appropriation_histogram, appropriation_verdict, resolution_paths,
     )
 }
@@ -517,6 +607,18 @@ SQL = {
     "appended_ledger": f"SELECT model, count(*) AS n, CAST(sum(length(coalesce(answer, ''))) AS BIGINT) AS chars FROM {GENERATION} WHERE lang IN ('en', 'ar') GROUP BY model",
     "audit_export": f"SELECT 'qid,kind,source,note' AS line UNION ALL SELECT qid || ',' || kind || ',' || source || ',' || CASE kind WHEN 'numeric' THEN 'numeric' WHEN 'bridge' THEN 'bridge' ELSE 'all' END FROM ({_AUDIT})",
     "text_fingerprint": "SELECT substr(sha256('encoder-1' || chr(0) || 'passage: ' || chr(0) || string_agg(h, '' ORDER BY r)), 1, 16) AS key FROM (SELECT floor(doc_id / 4096) AS r, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY doc_id, sha256(coalesce(text, '')))) AS h FROM documents GROUP BY 1)",
+    "xml_links": f"""SELECT doc_id, CAST(floor(bead_no / {BLOCK}) AS BIGINT) AS block, row_number() OVER (PARTITION BY doc_id, floor(bead_no / {BLOCK}) ORDER BY bead_no, array_to_string(ar, ' ') || ';' || array_to_string(en, ' ')) - 1 AS place,
+      coalesce(array_to_string(ar, ' '), '') AS ar, coalesce(array_to_string(en, ' '), '') AS en FROM (SELECT DISTINCT doc_id, bead_no, en, ar FROM beads) WHERE doc_id IN (SELECT doc_id FROM sentences WHERE lang = 'en' AND text <> '' INTERSECT SELECT doc_id FROM sentences WHERE lang = 'ar' AND text <> '')""",
+    "xml_documents": f"SELECT doc_id || '#' || CAST(floor(pos / {BLOCK}) AS BIGINT) AS path, doc_id AS symbol, CAST(1 AS BIGINT) AS n_keywords, count(*) AS n, arg_min(sid, lpad(CAST(pos AS VARCHAR), 9, '0') || sid) AS first, false AS broken FROM {oracle.NEWEST} WHERE lang = 'en' AND text IS NOT NULL GROUP BY ALL",
+    "encoded_texts": f"SELECT qid AS id, round((7 + length(question.en)) / sqrt((7 + length(question.en)) ** 2 + 10000), 4) AS x, round(100 / sqrt((7 + length(question.en)) ** 2 + 10000), 4) AS y FROM {QUESTIONS}",
+    "ledger_windows": f"SELECT CAST(floor(epoch(answered_at) / 86400) AS BIGINT) AS day, model, count(*) AS calls, CAST(sum(length(coalesce(answer, ''))) AS BIGINT) AS prompt_tokens, count(*) AS completion_tokens FROM {GENERATION} WHERE answered_at IS NOT NULL GROUP BY ALL",
+    "stub_answers": f"""WITH c AS (SELECT g.gen_id, g.condition, g.qid, string_agg(t.ar, chr(10) ORDER BY g.i) AS p FROM (SELECT gen_id, condition, qid, unnest(context_ids) AS chunk_id, unnest(range(len(context_ids))) AS i FROM {GENERATION}) g JOIN (SELECT chunk_id, max(ar) AS ar FROM chunks GROUP BY 1) t USING (chunk_id) WHERE t.ar IS NOT NULL GROUP BY ALL),
+      a AS (SELECT CAST(g.gen_id AS VARCHAR) AS qid, g.condition, g.qid || chr(10) || coalesce(c.p, '') AS prompt FROM {GENERATION} g LEFT JOIN c USING (gen_id) WHERE g.condition <> 'closed_book' OR c.p IS NULL)
+      SELECT qid, CASE WHEN length(prompt) % 2 = 0 THEN 'UNKNOWN NOT_IN_CONTEXT' ELSE trim(left(prompt, 12), ' ') END AS answer, length(prompt) % 2 = 0 AS abstained FROM a""",
+    "stub_verdicts": f"""SELECT gen_id, NOT coalesce(abstained, false) AND length(coalesce(answer, '')) % 2 = 0 AS correct, CASE WHEN NOT coalesce(abstained, false) AND coalesce(len(context_ids), 0) > 0 THEN length(coalesce(qid, '')) % 3 = 0 END AS supported FROM {GENERATION}""",
+    "allowed_calls": f"""WITH c AS (SELECT DISTINCT cache_key AS key FROM {GENERATION} WHERE model = 'model-a' OR gen_id % 3 = 0), n AS (SELECT DISTINCT cache_key AS key FROM {GENERATION} WHERE cache_key IS NOT NULL AND cache_key NOT IN (SELECT key FROM c WHERE key IS NOT NULL)),
+      f AS (SELECT key FROM n ORDER BY sha256('{SALT}|' || key), key LIMIT 50) SELECT gen_id FROM {GENERATION} WHERE cache_key IN (SELECT key FROM f UNION SELECT key FROM c)""",
+    "same_answers": f"SELECT qid, kind, len(t_en) > 0 AND t_en = t_ar AS same FROM {_text_columns({'en': 'en', 'ar': 'ar'}, f'(SELECT qid, kind, answer.en AS en, answer.ar AS ar FROM {QUESTIONS})')}",
     "pair_index": f"SELECT en_doc AS doc_id, CAST(0.5 AS DOUBLE) AS doc_score, count(*) AS n_links, count(*) FILTER (WHERE len(en) = 1 AND len(ar) = 1) AS n_one_to_one FROM {LINKS} WHERE en_doc = ar_doc GROUP BY en_doc",
     "path_mismatches": f"SELECT count(*) AS n FROM (SELECT DISTINCT ar_doc, en_doc FROM {LINKS} WHERE ar_doc <> en_doc)",
     "headed_chunks": f"SELECT chunk_id, sha256(concat_ws(chr(10), header, en)) AS en, sha256(concat_ws(chr(10), header, ar)) AS ar FROM {FULL_CHUNKS} WHERE trim(coalesce(en, ''), ' ') <> '' AND trim(coalesce(ar, ''), ' ') <> ''",
