@@ -119,21 +119,27 @@ def declines(text: str) -> bool:
     return not said.isascii() and bool(_AR.search(fold_arabic(said)))
 
 
+@functools.lru_cache(32)
+def _compressor(known: bytes) -> zstandard.ZstdCompressor:
+    """A compressor with what is known as its dictionary; the answers to a prompt mostly stand together."""
+    book = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=3, dict_data=book, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
 def _compressed(text: bytes, known: bytes) -> int:
     """Bytes of a text compressed with what is known as its dictionary."""
-    book = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return len(zstandard.ZstdCompressor(level=3, dict_data=book, write_content_size=False, write_checksum=False, write_dict_id=False).compress(text))
+    return len(_compressor(known).compress(text))
 
 
 _FRAME = " ".join(sorted(FRAME)).encode() + b" | "
 
 
 @functools.lru_cache(10_000)
-def _prompt(prompt: str) -> tuple[frozenset[str], bytes, int, int]:
-    """(words, their bytes, compressed with themselves, compressed without) of a prompt in plain form; framing words left out."""
+def _prompt(prompt: str) -> tuple[frozenset[str], bytes, int]:
+    """(words, their bytes, compressed with themselves) of a prompt in plain form; framing words left out."""
     words = [w for w in _WORD.findall(prompt) if w not in FRAME]
     raw = " ".join(words).encode("utf-8")
-    return frozenset(words), raw, _compressed(raw, _FRAME + raw), _compressed(raw, _FRAME)
+    return frozenset(words), raw, _compressed(raw, _FRAME + raw)
 
 
 def copies(text: str, prompt: str, words: list[str] | None = None) -> bool:
@@ -143,14 +149,18 @@ def copies(text: str, prompt: str, words: list[str] | None = None) -> bool:
     a copy if it also compresses the prompt well.  Of the few bytes a text may add, those of words that the prompt
     lacks are content, unless they compress to less than half (a prompt's word misspelt).
     """
-    asked, raw, own, alone = _prompt(prompt)
+    asked, raw, own = _prompt(prompt)
     words = [w for w in (_WORD.findall(text) if words is None else words) if w not in FRAME]
     if not asked or not words:
         return False
-    if alone - own < LEAST_SAVED:
-        return set(words) == asked
     said = " ".join(words).encode("utf-8")
     added = _compressed(said, _FRAME + raw) - own
+    same = set(words) == asked
+    if added > COPY_BYTES and not same:
+        return False
+    alone = _compressed(raw, _FRAME)
+    if alone - own < LEAST_SAVED:
+        return same
     if added > COPY_BYTES or _compressed(raw, _FRAME + said) > COPY_RATIO * alone:
         return False
     new = sum(len(w.encode("utf-8")) for w in words if w not in asked)
