@@ -90,6 +90,15 @@ class Items:
     hashes: np.ndarray
     places: np.ndarray
     filter: np.ndarray
+    around: tuple[np.ndarray, np.ndarray] | None = None
+
+    def surroundings(self) -> tuple[np.ndarray, np.ndarray]:
+        """What stands `side` characters after and before each piece, a column for each; made where it is first used."""
+        if self.around is None:
+            item = np.searchsorted(self.rows, self.places, side="right") - 1
+            low, high, steps = self.rows[item], self.rows[item + 1], np.arange(self.side)
+            self.around = _window(self.value, self.places + self.size, None, high, steps, 0), _window(self.value, self.places - 1, low, None, -steps, 0)
+        return self.around
 
 
 def piece_size(width: int, budget: int) -> int:
@@ -172,6 +181,7 @@ def distances(pattern: np.ndarray, text: np.ndarray, wanted: np.ndarray, budget:
     blocks = max(1, -(-m // 64))
     plus, minus = np.full((blocks, n), ~np.uint64(0)), np.zeros((blocks, n), np.uint64)
     best = np.full((m + 1, n), budget + 1, np.int64)
+    asked = {k: np.flatnonzero(wanted[k]) for k in np.flatnonzero(wanted.any(axis=1)).tolist()}
     for k in range(min(m, budget) + 1):
         best[k] = k  # nothing of the text
     for j in range(len(text)):
@@ -192,8 +202,8 @@ def distances(pattern: np.ndarray, text: np.ndarray, wanted: np.ndarray, budget:
             minus[w] = up & vertical
             grows, falls = next_grows, next_falls
         for length in range(max(1, j + 1 - budget), min(m, j + 1 + budget) + 1):
-            some = np.flatnonzero(wanted[length])
-            if len(some):
+            some = asked.get(length)
+            if some is not None:
                 score = np.full(len(some), j + 1, np.int64)
                 for w in range(-(-length // 64)):
                     mask = np.uint64((1 << min(64, length - 64 * w)) - 1)
@@ -202,12 +212,12 @@ def distances(pattern: np.ndarray, text: np.ndarray, wanted: np.ndarray, budget:
     return best
 
 
-def _window(value: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, offsets: np.ndarray, nothing: int) -> np.ndarray:
-    """value[at + offset] where low <= at + offset < high, else `nothing`."""
+def _window(value: np.ndarray, at: np.ndarray, low: np.ndarray | None, high: np.ndarray | None, offsets: np.ndarray, nothing: int) -> np.ndarray:
+    """value[at + offset] where low <= at + offset < high, else `nothing`; a bound that cannot be passed may be left out."""
     where = offsets[:, None] + at[None, :]
-    inside = (where >= low) & (where < high)
-    out = value[np.where(inside, where, 0)]
-    out[~inside] = nothing
+    outside = where >= high if low is None else where < low if high is None else (where < low) | (where >= high)
+    out = value.take(where, mode="clip") if len(value) else np.zeros(where.shape, np.uint32)
+    out[outside] = nothing
     return out
 
 
@@ -239,10 +249,10 @@ def hits(text: pa.Array, groups: list[Items], words: int = WORDS, budget: int =
         at, left, count = at[some], left[some], count[some]
         near = []
         for a, b in _in_blocks(count, BLOCK_HITS):
-            place = items.places[flat.ranges(left[a:b], count[a:b])]
+            piece = flat.ranges(left[a:b], count[a:b])
             where = np.repeat(at[a:b], count[a:b])
             for c in range(0, len(where), BLOCK_HITS):  # a position may hit very many equal pieces
-                near.append(_near(value, rows, where[c : c + BLOCK_HITS], place[c : c + BLOCK_HITS], items, budget))
+                near.append(_near(value, rows, where[c : c + BLOCK_HITS], piece[c : c + BLOCK_HITS], items, budget))
         if near:
             found.append(_passages(value, rows, edge, *(np.concatenate(x) for x in zip(*near, strict=True)), items, words, budget))
     row, item, n, edits = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
@@ -254,20 +264,19 @@ def hits(text: pa.Array, groups: list[Items], words: int = WORDS, budget: int =
     return row[first], item[first], np.maximum.reduceat(n, first), np.minimum.reduceat(edits, first)
 
 
-def _near(value, rows, at, place, items, budget):
+def _near(value, rows, at, piece, items, budget):
     """The hits beside which, on one side, half of what a passage has beyond the piece agrees within the budget."""
     size = items.size
     row = np.searchsorted(rows, at, side="right") - 1
-    item = np.searchsorted(items.rows, place, side="right") - 1
     low, high = rows[row], rows[row + 1]
-    item_low, item_high = items.rows[item], items.rows[item + 1]
-    steps, longer = np.arange(items.side), np.arange(items.side + budget)
-    right = myers(_window(items.value, place + size, item_low, item_high, steps, 0), _window(value, at + size, low, high, longer, 1), budget)
-    keep = right <= budget
+    longer = np.arange(items.side + budget)
+    after, before = items.surroundings()
+    keep = myers(after.take(piece, axis=1), _window(value, at + size, None, high, longer, 1), budget) <= budget
     rest = np.flatnonzero(~keep)
-    left = myers(_window(items.value, place[rest] - 1, item_low[rest], item_high[rest], -steps, 0), _window(value, at[rest] - 1, low[rest], high[rest], -longer, 1), budget)
+    left = myers(before.take(piece[rest], axis=1), _window(value, at[rest] - 1, low[rest], None, -longer, 1), budget)
     keep[rest[left <= budget]] = True
-    return at[keep], row[keep], item[keep], place[keep]
+    place = items.places[piece[keep]]
+    return at[keep], row[keep], np.searchsorted(items.rows, place, side="right") - 1, place
 
 
 def _passages(value, rows, edge, at, row, item, place, items, words, budget):
@@ -298,31 +307,37 @@ def _passages(value, rows, edge, at, row, item, place, items, words, budget):
     # A run of that many words is a passage without edits; around others, each passage is measured.
     edits = np.where(n >= words, 0, budget + 1)
     short = np.flatnonzero(n < words)
-    for run, anchor in ((short, first[short]), (more := short[first[short] < last[short]], last[more])):
-        likely = _split(value, at[anchor], place[anchor], low[anchor], high[anchor], item_low[anchor], item_high[anchor], items, budget)
-        run, anchor = run[likely], anchor[likely]
-        edits[run] = np.minimum(edits[run], _edits(value, at[anchor], place[anchor], low[anchor], high[anchor], item_low[anchor], item_high[anchor], items, ends, words, budget))
+    more = short[first[short] < last[short]]
+    run, anchor = np.concatenate((short, more)), np.concatenate((first[short], last[more]))
+    likely = _split(value, at[anchor], place[anchor], low[anchor], high[anchor], item_low[anchor], item_high[anchor], items, budget)
+    run, anchor = run[likely], anchor[likely]
+    np.minimum.at(edits, run, _edits(value, at[anchor], place[anchor], low[anchor], high[anchor], item_low[anchor], item_high[anchor], items, ends, words, budget))
     kept = edits <= budget
     return row[first][kept], item[first][kept], n[kept], edits[kept]
 
 
+def _both_sides(value, at, place, low, high, item_low, item_high, items, wanted, budget):
+    """`distances` to the left and to the right of the pieces, by prefix length; wanted holds the lengths of both sides."""
+    longest = wanted.shape[1] - 1
+    steps, longer = np.arange(longest), np.arange(longest + budget)
+    pattern = np.hstack((_window(items.value, place - 1, item_low, None, -steps, 0), _window(items.value, place + items.size, None, item_high, steps, 0)))
+    text = np.hstack((_window(value, at - 1, low, None, -longer, 1), _window(value, at + items.size, None, high, longer, 1)))
+    both = distances(pattern, text, np.hstack((wanted[0], wanted[1])), budget)
+    return both[:, : len(at)], both[:, len(at) :]
+
+
 def _split(value, at, place, low, high, item_low, item_high, items, budget):
     """Which hits a passage can hold: it goes beyond the piece by `beyond` at least, so by some quarters of that on the left and the rest, less one, on the right."""
     quarter = items.beyond // 4
+    left, right = [k * quarter for k in range(4)], [max(0, items.beyond - (k + 1) * quarter) for k in range(4)]
     out = np.zeros(len(at), bool)
-    step = max(1, BLOCK_CELLS // max(1, items.beyond))
+    step = max(1, BLOCK_CELLS // max(1, 2 * items.beyond))
     for a in range(0, len(at), step):
-        part = slice(a, a + step)
-        where, here, lo, hi, ilo, ihi = at[part], place[part], low[part], high[part], item_low[part], item_high[part]
-        left_lengths, right_lengths = [k * quarter for k in range(4)], [max(0, items.beyond - (k + 1) * quarter) for k in range(4)]
-        dist = []
-        for lengths, begin, text_begin, sign in ((left_lengths, here - 1, where - 1, -1), (right_lengths, here + items.size, where + items.size, 1)):
-            longest = max(lengths)
-            wanted = np.zeros((longest + 1, len(where)), bool)
-            wanted[lengths] = True
-            steps, longer = sign * np.arange(longest), sign * np.arange(longest + budget)
-            dist.append(distances(_window(items.value, begin, ilo, ihi, steps, 0), _window(value, text_begin, lo, hi, longer, 1), wanted, budget)[lengths])
-        out[part] = (dist[0] + dist[1] <= budget).any(axis=0)
+        part = [x[a : a + step] for x in (at, place, low, high, item_low, item_high)]
+        wanted = np.zeros((2, max(*left, *right) + 1, len(part[0])), bool)
+        wanted[0, left], wanted[1, right] = True, True
+        before, after = _both_sides(value, *part, items, wanted, budget)
+        out[a : a + step] = (before[left] + after[right] <= budget).any(axis=0)
     return out
 
 
@@ -330,10 +345,9 @@ def _edits(value, at, place, low, high, item_low, item_high, items, ends, words,
     """Edits of the closest passage of `words` words that holds the piece at `place`; at least 1, as none is an exact run."""
     out = np.full(len(at), budget + 1, np.int64)
     starts, size = items.word_starts, items.size
-    step = max(1, BLOCK_CELLS // max(1, items.reach))
+    step = max(1, BLOCK_CELLS // max(1, 2 * items.reach))
     for a in range(0, len(at), step):
-        part = slice(a, a + step)
-        where, here, lo, hi, ilo, ihi = at[part], place[part], low[part], high[part], item_low[part], item_high[part]
+        part = where, here, lo, hi, ilo, ihi = [x[a : a + step] for x in (at, place, low, high, item_low, item_high)]
         n = len(where)
         word = np.searchsorted(starts, here, side="right") - 1
         s = word[None, :] - np.arange(words)[:, None]  # the passages' first words
@@ -346,11 +360,9 @@ def _edits(value, at, place, low, high, item_low, item_high, items, ends, words,
         col = np.broadcast_to(np.arange(n), s.shape)
         wanted[0, before[fits], col[fits]] = True
         wanted[1, after[fits], col[fits]] = True
-        steps, longer = np.arange(longest), np.arange(longest + budget)
-        left = distances(_window(items.value, here - 1, ilo, ihi, -steps, 0), _window(value, where - 1, lo, hi, -longer, 1), wanted[0], budget)
-        right = distances(_window(items.value, here + size, ilo, ihi, steps, 0), _window(value, where + size, lo, hi, longer, 1), wanted[1], budget)
+        left, right = _both_sides(value, *part, items, wanted, budget)
         both = np.where(fits, left[np.where(fits, before, 0), col] + right[np.where(fits, after, 0), col], budget + 1)
-        out[part] = np.maximum(both.min(axis=0), 1)
+        out[a : a + step] = np.maximum(both.min(axis=0), 1)
     return out
 
 
