@@ -323,12 +323,15 @@ OWN, NEAR = 7, 3
 #: So many features of a token, and of a neighbour, hold for words never seen.
 OWN_OPEN, NEAR_OPEN = 3, 2
 OFFSETS = [k for k in range(-REACH, REACH + 1) if k]
+_PLACES = {k: zlib.crc32(str(k).encode()) for k in (0, *OFFSETS)}
 
 
 def indices(word: str, names: Names = NO_NAMES) -> list[int]:
     """Buckets of a token's features: at its own place, then for the token each offset away that sees it."""
     own, near = features(word, names)
-    return [zlib.crc32(f"0{x}".encode()) % BUCKETS for x in own] + [zlib.crc32(f"{k}{x}".encode()) % BUCKETS for k in OFFSETS for x in near]
+    near = [x.encode() for x in near]
+    # a checksum goes on from that of the place's number
+    return [zlib.crc32(x.encode(), _PLACES[0]) % BUCKETS for x in own] + [zlib.crc32(x, _PLACES[k]) % BUCKETS for k in OFFSETS for x in near]
 
 
 GAPS = [zlib.crc32(f"gap{k}{g}".encode()) % BUCKETS for k in (0, 1) for g in (0, 1, 2)]
@@ -466,9 +469,12 @@ def train(texts: list[str], found: list[list[tuple[int, int, int]]] | None = Non
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(at)), label_of[at]] -= 1
             flat_x = mine.ravel()
-            order = np.argsort(flat_x, kind="stable")
-            bucket, begin = np.unique(flat_x[order], return_index=True)
-            g = np.add.reduceat(p[order // x.shape[1]], begin, axis=0).astype(np.float32)
+            there = np.flatnonzero(flat_x != BUCKETS)
+            order = np.argsort(flat_x[there].astype(np.uint16), kind="stable")  # 16 bits: a radix sort
+            ordered = flat_x[there[order]]
+            begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+            bucket = ordered[begin]
+            g = np.add.reduceat(p[there[order] // x.shape[1]], begin, axis=0).astype(np.float32)
             square[bucket] += (g * g).mean(axis=1, keepdims=True)
             weight[bucket] -= 0.25 * g / np.sqrt(square[bucket]) + 1e-5 * weight[bucket]
             weight[BUCKETS] = 0
