@@ -6,6 +6,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from qirtas.functions import stemming
+from qirtas.functions import text as T
 from qirtas.operators import dense, fusion, metrics, retrieval, similarity
 from qirtas.plans import grammar
 
@@ -190,3 +192,68 @@ def test_ladder_and_table(spark):
 
 def test_query_set_of_searches(spark):
     assert [r.i for r in retrieval.every(frame(spark, [(i,) for i in range(45)], "i int"), F.col("i")).orderBy("i").collect()] == [0, 20, 40]
+
+
+def test_a_search_analyzes_the_documents_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for x in batches:
+            seen.add(x.num_rows)
+            yield x
+
+    docs = frame(spark, [(f"d{i}", ["x", f"w{i}"]) for i in range(20)], "doc string, tokens array<string>").mapInArrow(counted, "doc string, tokens array<string>")
+    asked = frame(spark, [(f"q{i}", ["x", f"w{i}"]) for i in range(12)], "qid string, tokens array<string>")
+    for block in (1000, 2):
+        seen.value = 0
+        got = {r.qid: r.doc for r in retrieval.bm25(docs, asked, 3, block=block).filter("rank = 1").collect()}
+        assert got == {f"q{i}": f"d{i}" for i in range(12)} and seen.value == 20
+
+
+def test_a_task_gives_the_best_of_all_its_batches(spark):
+    """Equal scores beyond k, in many batches of one task: the smaller documents, and hardly more rows than k leave the task."""
+    rng = np.random.default_rng(5)
+    kinds = [["x"], ["x", "y"], ["y"], ["x", "x", "z"], []]
+    docs = frame(spark, [(f"d{i:04d}", kinds[rng.integers(0, 5)]) for i in rng.permutation(3000)], "doc string, tokens array<string>").coalesce(1)
+    asked = frame(spark, [("a", ["x"]), ("b", ["y", "x"]), ("c", ["x", "y"]), ("d", ["z", "y"]), ("e", ["v"])], "qid string, tokens array<string>")
+    whole = retrieval.top_k(retrieval.bm25_scores(docs, asked), 5)
+    tidy = lambda df: sorted((r.qid, r["rank"], r.doc, round(r.score, 9)) for r in df.collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        assert tidy(retrieval.bm25(docs, asked, 5)) == tidy(whole)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_what_is_kept_holds_the_best_of_each_query():
+    rng = np.random.default_rng(7)
+    score = np.round(rng.random(4000) * 20) * 1e-9 + np.where(rng.random(4000) < 0.1, 0.5e-9, 0) + 3
+    query, rank = rng.integers(0, 7, 4000), rng.permutation(4000)
+    kept, last = retrieval._kept(query, score, rank, 8, 10)
+    for up in (0.0, 1e-12, -1e-12):  # whichever way the middle between two scores is rounded
+        whole = np.rint((score + up) * 1e9)
+        for q in range(7):
+            its = np.flatnonzero(query == q)
+            assert {*its[np.lexsort((rank[its], -whole[its]))][:10]} <= {*kept}
+    assert last[7] == -np.inf
+
+
+def test_few_terms_to_a_matrix(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MATRIX_TERMS", 4)
+    rng = np.random.default_rng(9)
+    docs = frame(spark, [(i, list(map(str, rng.integers(0, 20, 12)))) for i in range(200)], "doc bigint, tokens array<string>")
+    asked = frame(spark, [(i, list(map(str, rng.integers(0, 20, 1 + i % 7)))) for i in range(40)], "qid bigint, tokens array<string>")
+    tidy = lambda df: sorted((r.qid, r["rank"], r.doc, round(r.score, 9)) for r in df.collect())
+    assert tidy(retrieval.bm25(docs, asked, 5)) == tidy(retrieval.top_k(retrieval.bm25_scores(docs, asked), 5))
+
+
+def test_light_form_is_the_normal_form_stemmed(spark):
+    texts = ["The Running’s 12٣ CITIES, Éclairs'", "ﬁnal ΟΔΟΣ İstanbul x́y", "والكِتَابُون وً َ ١٢٣ المكتبـات للࢌون", "aࢌb citiesࢌ", "", None, " ًٰ ", "١٢ running"]
+    for lang in ("en", "ar"):
+        df = frame(spark, [(i, x) for i, x in enumerate(texts)], "i int, text string")
+        words = df.withColumn("w", T.tokens(F.coalesce("text", F.lit("")), lang)).select("i", F.posexplode("w").alias("at", "w"))
+        stem = stemming.stem_arabic(F.col("w")) if lang == "ar" else stemming.stem_english(F.col("w"))
+        want = {i: [] for i in range(len(texts))}
+        for r in words.select("i", "at", stem.alias("s")).orderBy("i", "at").collect():
+            want[r.i].append(r.s)
+        assert {r.i: r.tokens for r in retrieval.analyze(df, "light", lang).collect()} == want
